@@ -4,8 +4,8 @@ Events are gathered into lines, one for each run of text between block tags or b
 stands in (the nearest article, main, section, div, td or body) and whether it is inside something that is never article text: head,
 scripts, styles, navigation, page headers and footers, asides, forms, hidden parts, or elements whose class, id or role says advert,
 notice, sidebar, comment and so on. Where the page marks articles (or main), their lines are the content. Elsewhere lines have their
-text-to-tag ratio, smoothed by a Gaussian; a threshold that parts the smoothed ratios into two clusters selects content lines, and every
-line of a container that holds selected ones, between the first and the last of these, belongs to the content.
+text-to-tag ratio, smoothed by a Gaussian; a threshold that parts the smoothed ratios into two clusters selects content lines. In a
+container that holds such lines, everything between the first and the last line above the threshold, smoothed or not, is content.
 
 Defined cases: a null or empty html, or one without content lines, gives the empty string; unclosed and stray tags are closed as by their
 ancestors; rows repeat as they are; a null page_id or url stays. Other columns are ignored.
@@ -158,11 +158,13 @@ def main_text(html: str | None) -> str:
             return " ".join(marked)
     if not lines:
         return ""
-    ratio = smooth(np.log1p([len(x[0]) / (1 + x[1]) for x in lines]))
-    chosen = ratio > threshold(ratio)
+    own = np.log1p([len(x[0]) / (1 + x[1]) for x in lines])
+    ratio = smooth(own)
+    least = threshold(ratio)
+    holders = {x[2] for i, x in enumerate(lines) if ratio[i] > least}
     spans: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
-        if chosen[i]:
+        if x[2] in holders and max(ratio[i], own[i]) > least:
             spans.setdefault(x[2], []).append(i)
     return " ".join(x[0] for i, x in enumerate(lines) if x[2] in spans and spans[x[2]][0] <= i <= spans[x[2]][-1])
 
