@@ -104,7 +104,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "overwrite") -> None:
     """The fields in their order, empty where df has none; other columns are left out."""
     have = set(df.columns)
-    df.select(*(F.col(f"`{f}`") if f in have else F.lit("").alias(f) for f in fields)).write.mode(mode).options(header=True, escape='"').csv(path)
+    df.select(*(F.col(f"`{f}`") if f in have else F.lit("").alias(f) for f in fields)).write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, rows_per_file: int = 5_000_000, by: list[str] | None = None, mode: str = "overwrite") -> None:
