@@ -1,7 +1,7 @@
 """Token-id output: flat unsigned integer files with 64-bit document offsets, written by shard and read back memory-mapped.
 
 A data set is a folder with, for each shard N in ascending document order,
-  tokens-N.bin   token ids, little-endian unsigned 32-bit (16-bit if the vocabulary allows and `width` says so), document after document
+  tokens-N.bin   token ids, little-endian unsigned 16-bit if the vocabulary fits, else 32-bit, document after document
   offsets-N.bin  n + 1 little-endian signed 64-bit: where each document starts in tokens-N.bin, and its end
   ids-N.bin      n little-endian signed 64-bit document ids, and nulls-N.bin a byte each that is 1 where the id was null
 Shards hold ranges of doc_id; a shard's base in the whole corpus is the prefix sum of the token counts before it. Files get their
@@ -28,10 +28,14 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import columns, new_path
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+BATCH = 500
 
-#: A word that the model can be given as it is: Latin letters or digits apart, and what may follow it.
-PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)")
+#: Words whose pieces cannot be told apart here: with anything but printable ASCII, less the apostrophe, and Latin letters.
+ODD = re.compile(r"^(?:.*[^!-&(-~\xC0-\xD6\xD8-\xF6\xF8-\xFF\n].*|.*<\|.*)$", re.M)
+#: White space to str.split(), but not to tokenizers.
+SEPARATOR = re.compile(r"[\x1c-\x1f]")
+PIECE = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,38 +48,44 @@ def byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Words without white space to the bytes of their ids; keeps what it has encoded, up to a bound.
 
-    Plain words (Latin letters, then punctuation) go to the tokenizer's model by their pieces; any other word goes through the whole
-    tokenizer. White space parts pieces and is dropped, so a text's ids are those of its words one after another."""
+    White space parts pieces and is dropped, so a text's ids are those of its words one after another, and a batch encodes each of its
+    new words once. Plain words are lower-cased and cut into pieces here and go to the tokenizer's own model in bulk; any other word goes
+    through the whole tokenizer."""
 
     def __init__(self, path: str, dtype: str):
-        from tokenizers import Tokenizer
-
-        self.whole, self.dtype, self.pieces, self.letters = Tokenizer.from_file(path), dtype, {}, byte_letters()
-        self.model, self.special = self.whole.model, re.compile("<\\|")
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def piece(self, s: str) -> bytes:
-        if (v := self.pieces.get(s)) is None:
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            v = self.pieces[s] = self.packed([t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))])
-        return v
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.dtype = Tokenizer.from_file(path), dtype
+        self.letters = {b: c for b, c in byte_letters().items() if b not in (10, 32)}
+        self.pieces = Tokenizer(self.whole.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)
+        suffix = self.whole.model.end_of_word_suffix
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = token.endswith(suffix)
+
+    def learn(self, words: list[str]) -> None:
+        odd = set(ODD.findall("\n".join(words)))
+        for w in odd:
+            self[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        plain = [w for w in words if w not in odd]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            lines = PIECE.sub(r"\g<0> ", "\n".join(part).lower())
+            sizes = [x.count(" ") for x in lines.split("\n")]
+            coded = lines.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.pieces.encode_batch_fast([coded], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1)[np.cumsum(sizes) - 1] * ids.itemsize
+            raw, at = ids.tobytes(), ends.tolist()
+            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text; a null text is empty."""
+        if len(self) > CACHE_WORDS:
             self.clear()
-        m = PLAIN.fullmatch(word)
-        if m and len(word) < 100 and "<|" not in word:
-            v = b"".join(self.piece(s) for s in (m[1].lower(), m[2]) if s)
-        else:
-            v = self.packed(self.whole.encode(word, add_special_tokens=False).ids)
-        self[word] = v
-        return v
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, re.split(r"[ \n\t\r]+", text.strip(" \n\t\r")))) if text.strip(" \n\t\r") else b""
+        split = [(re.split(r"[ \n\t\r]+", t.strip(" \n\t\r")) if SEPARATOR.search(t) else t.split()) if t else [] for t in texts]
+        self.learn(list(set().union(*split).difference(self)))
+        return [b"".join(map(self.__getitem__, ws)) for ws in split]
 
 
 def target(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -92,6 +102,13 @@ def publish(fs: pafs.FileSystem, name: str, write) -> None:
     fs.move(part, name)
 
 
+def width_for(tokenizer: str) -> int:
+    """16 bits where all ids fit, else 32."""
+    from tokenizers import Tokenizer
+
+    return 16 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 32
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, width: int = 32, end_id: int = END_ID) -> list[tuple[int, int, int]]:
     """Writes the files; (shard, documents, tokens) of each, in order. The text is shuffled once, by ranges of doc_id."""
     dtype = f"<u{width // 8}"
@@ -111,11 +128,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, widt
                 stream = fs.open_output_stream(part)
             nulls.append(b["doc_id"].isna().to_numpy().astype(np.uint8))
             ids.append(b["doc_id"].fillna(0).astype("int64").to_numpy())
-            for x in b["text"]:
-                v = (encode.text(x) if x else b"") + end
-                stream.write(v)
-                at += len(v) * 8 // width
-                ends.append(at)
+            texts = b["text"].tolist()
+            for i in range(0, len(texts), BATCH):
+                coded = [v + end for v in encode.texts(texts[i : i + BATCH])]
+                stream.write(b"".join(coded))
+                for v in coded:
+                    at += len(v) * 8 // width
+                    ends.append(at)
         if stream is None:
             return
         stream.close()
@@ -165,9 +184,9 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int,
     return spark.createDataFrame(shards, "shard int, base long").repartition(parts, "shard").mapInPandas(read, schema)
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str, folder: str | None = None, shards: int | None = None, width: int = 32) -> DataFrame:
-    """Writes docs to a folder (by default one in the shared folder) and returns what the files say of each document."""
+def encode_corpus(docs: DataFrame, tokenizer: str, folder: str | None = None, shards: int | None = None, width: int | None = None) -> DataFrame:
+    """Writes docs to a folder (by default one in the shared folder), with the least width that holds all ids, and returns what the files say of each document."""
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "tokens")
+    folder, width = folder or new_path(spark, "tokens"), width or width_for(tokenizer)
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     return read_shards(spark, folder, write_shards(docs, folder, tokenizer, shards, width), width)
