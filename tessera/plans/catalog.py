@@ -11,14 +11,17 @@ from tessera.functions import arrays as A
 from tessera.functions import fuzzy as Z
 from tessera.functions import numeric as N
 from tessera.functions import text as X
+from tessera.operators import corpus as C
 from tessera.operators import evaluation as E
 from tessera.operators import features as M
 from tessera.operators import fill as L
+from tessera.operators import groups as GR
 from tessera.operators import modeling as G
 from tessera.operators import profile as P
 from tessera.operators import relational as R
 from tessera.operators import retrieval as S
 from tessera.plans import oracles
+from tessera.sources import io
 from tessera.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +524,108 @@ def windowed_events(t: Tables) -> DataFrame:
     return rows.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+# Groups, lists, scalars
+
+
+@query
+def demographics_pivot(t: Tables) -> DataFrame:
+    """Customers of each nation by segment, as if segments were categories of a group."""
+    counts = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    words = {"cars": ["automobile"], "houses": ["building", "household"], "machines": ["machinery"]}
+    return GR.demographics(counts, ["c_nationkey"], "c_mktsegment", "n", words).select("c_nationkey", "cars", "houses", "machines", "other", "total", "heterogeneity")
+
+
+@query
+def outcome_limit(t: Tables) -> DataFrame:
+    """All returned lines of an order, and its first three others."""
+    rows = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), F.when(F.col("l_returnflag") == "R", "Primary").otherwise("Secondary").alias("kind"))
+    return GR.first_outcomes(rows, "l_orderkey", "kind", "at").groupBy("l_orderkey", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ordered_distinct_join(t: Tables) -> DataFrame:
+    """Each customer's order priorities in order of first sight."""
+    said = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("l"))
+    return said.select("o_custkey", A.distinct_join(F.transform("l", lambda x: x["o_orderpriority"])).alias("priorities"))
+
+
+@query
+def missing_gate(t: Tables) -> DataFrame:
+    rows = t.part.select("p_name", F.when(F.col("p_size") > 30, F.col("p_brand")).alias("some"), F.when(F.col("p_size") > 10, F.col("p_type")).alias("most"), F.lit(" ").alias("blank"))
+    kept, wide = M.dense_columns(rows, rows.columns, 0.5), M.wide_columns(rows, rows.columns, 20)
+    return t.spark.createDataFrame([(c, c in kept, c in wide) for c in rows.columns], "`column` string, kept boolean, wide boolean")
+
+
+@query
+def top_ratio_features(t: Tables) -> DataFrame:
+    return M.top_ratio(M.anova_f(labelled(t), ["n_chars", "n_lines", "p"], "y"), "f", 0.7).select("column")
+
+
+@query
+def cv_folds(t: Tables) -> DataFrame:
+    return M.folds(t.labels, "quality", "doc_id", 5).groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n")).select("quality", F.col("fold").cast("long").alias("fold"), "n")
+
+
+@query
+def best_threshold(t: Tables) -> DataFrame:
+    return E.best_threshold(E.threshold_sweep(labelled(t), "y", "p")).select("step", "tp", "fp", "fn", "f1")
+
+
+@query
+def adjacency_lists(t: Tables) -> DataFrame:
+    return io.adjacency(relation_edges(t)).select("node", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query
+def upsert_rows(t: Tables) -> DataFrame:
+    rows = t.supplier.select("s_suppkey", "s_acctbal")
+    return io.upsert(rows, rows.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.lit(0.0)), ["s_suppkey"])
+
+
+@query
+def resume_anti_join(t: Tables) -> DataFrame:
+    """Documents that an index of three sources does not have yet."""
+    done = t.documents.where(F.col("source").isin("src0", "src1", "src2")).select("doc_id")
+    return t.documents.join(done, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def event_sessions(t: Tables) -> DataFrame:
+    """Sessions of users, closed by thirty minutes without an event."""
+    rows = incremental.sessions(t.events, "ts", "user_id")
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
+
+
+SAID_AGES = ["18 Years", "6 Months", "90 Days", "N/A", "", "26 Weeks", "2.5 years"]
+SAID_MASKING = ["None (Open Label)", "Double (Participant, Investigator)", "Quadruple", "Single", "unknown", "Triple", "other"]
+
+
+@query
+def scalar_parsers(t: Tables) -> DataFrame:
+    """Ages, blinding and gender of made-up registry texts."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+    age, masking, sex = pick(SAID_AGES), pick(SAID_MASKING), pick(["All", "Female", "Male", "both", "N/A"])
+    blinded, level = X.blinding(masking)
+    return t.events.select(X.age_years(age).alias("age"), blinded.alias("blinded"), level.alias("level"), X.gender(sex).alias("sex")).groupBy("age", "blinded", "level", "sex").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def focus_lengths(t: Tables) -> DataFrame:
+    """Chunks of at most 500 characters of each document's lines, and their lengths."""
+    rows = t.documents.select("lang", F.explode(F.transform(F.filter(F.split("text", "\n"), lambda p: F.trim(p) != ""), lambda p: F.length(F.substring(X.squeeze(p), 1, 500)))).alias("n"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.min("n").cast("long").alias("least"), F.max("n").cast("long").alias("most"), F.round(F.avg("n"), 4).alias("mean"))
+
+
+@query
+def nested_study_records(t: Tables) -> DataFrame:
+    """Customers as studies with their orders as outcomes and nations as conditions, as nested records."""
+    studies = t.customer.select(F.col("c_custkey").alias("trial_id"), F.col("c_mktsegment").alias("phase"), F.col("c_name").alias("title"))
+    outcomes = t.orders.select(F.col("o_custkey").alias("study_id"), F.col("o_orderstatus").alias("overall_status"), F.col("o_orderpriority").alias("outcome_type"))
+    conditions = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("study_id"), F.col("n_name").alias("condition_name"))
+    records = C.build(studies, {"outcomes": outcomes, "conditions": conditions})
+    return records.select("trial_id", F.col("study.phase").alias("phase"), F.size("outcomes").cast("long").alias("n_outcomes"), C.focus_text(records, "condition").alias("condition"))
+
+
 # Without an exact counterpart in SQL
 
 

@@ -240,4 +240,37 @@ WITH {LABELLED}, t AS (SELECT range AS step, 0.01 + range * (0.98 / 49) AS cut F
 c AS (SELECT step, count(*) FILTER (y = 1 AND p >= cut - 2e-11) AS tp, count(*) FILTER (y = 0 AND p >= cut - 2e-11) AS fp, count(*) FILTER (y = 1 AND p < cut - 2e-11) AS fn FROM l, t GROUP BY step)
 SELECT step, tp, fp, fn, {DERIVED} FROM c""",
     "windowed_events": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "demographics_pivot": """
+WITH c AS (SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS a, count(*) FILTER (c_mktsegment IN ('BUILDING', 'HOUSEHOLD')) AS h, count(*) FILTER (c_mktsegment = 'MACHINERY') AS m, count(*) AS t FROM customer GROUP BY 1)
+SELECT c_nationkey, nullif(a, 0) AS cars, nullif(h, 0) AS houses, nullif(m, 0) AS machines, nullif(t - a - h - m, 0) AS other, t AS total, round(1 - (a * a + h * h + m * m + (t - a - h - m) * (t - a - h - m)) / (t * t), 6) AS heterogeneity FROM c""",
+    "outcome_limit": """
+SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'Primary' ELSE 'Secondary' END AS kind, CASE WHEN l_returnflag = 'R' THEN count(*) ELSE least(3, count(*)) END AS n
+FROM (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'x' END AS l_returnflag FROM lineitem) GROUP BY l_orderkey, l_returnflag""",
+    "ordered_distinct_join": """
+WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY ALL) SELECT o_custkey, string_agg(o_orderpriority, '; ' ORDER BY k) AS priorities FROM f GROUP BY 1""",
+    "missing_gate": """
+SELECT 'p_name' AS "column", true AS kept, (SELECT count(DISTINCT p_name) > 20 FROM part) AS wide UNION ALL SELECT 'some', (SELECT avg(CAST(p_size <= 30 AS INT)) <= 0.5 FROM part), (SELECT count(DISTINCT p_brand) > 20 FROM part WHERE p_size > 30)
+UNION ALL SELECT 'most', (SELECT avg(CAST(p_size <= 10 AS INT)) <= 0.5 FROM part), (SELECT count(DISTINCT p_type) > 20 FROM part WHERE p_size > 10) UNION ALL SELECT 'blank', false, false""",
+    "top_ratio_features": f"""WITH {LABELLED}, f AS ({anova('n_chars')} UNION ALL {anova('n_lines')} UNION ALL {anova('p')}) SELECT "column" FROM f ORDER BY f DESC, "column" LIMIT 2""",
+    "cv_folds": "SELECT quality, range AS fold, (n - range + 4) // 5 AS n FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1), range(5)",
+    "best_threshold": f"""
+WITH {LABELLED}, t AS (SELECT range AS step, 0.01 + range * (0.98 / 49) AS cut FROM range(50)),
+c AS (SELECT step, count(*) FILTER (y = 1 AND p >= cut - 2e-11) AS tp, count(*) FILTER (y = 0 AND p >= cut - 2e-11) AS fp, count(*) FILTER (y = 1 AND p < cut - 2e-11) AS fn FROM l, t GROUP BY step),
+m AS (SELECT step, tp, fp, fn, {DERIVED} FROM c) SELECT step, tp, fp, fn, f1 FROM m ORDER BY f1 DESC, step LIMIT 1""",
+    "adjacency_lists": f"WITH {EDGES} SELECT src AS node, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM e GROUP BY 1",
+    "upsert_rows": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier",
+    "resume_anti_join": "SELECT source, count(*) AS n FROM documents WHERE source NOT IN ('src0', 'src1', 'src2') OR source IS NULL GROUP BY 1",
+    "event_sessions": """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL)
+SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY 1""",
+    "scalar_parsers": """
+SELECT ['18', '0.5', '0.25', '', '', '0.5', '2.5'][event_id % 7 + 1] AS age, ['No', 'Yes', 'Yes', 'Yes', '', 'Yes', 'Yes'][event_id % 7 + 1] AS blinded, ['0', '2', '4', '1', '', '3', ''][event_id % 7 + 1] AS level,
+  ['Both', 'Female', 'Male', 'Both', ''][event_id % 5 + 1] AS sex, count(*) AS n FROM events GROUP BY ALL""",
+    "focus_lengths": r"""
+WITH p AS (SELECT lang, unnest(string_split(text, chr(10))) AS p FROM documents), n AS (SELECT lang, length(substr(trim(regexp_replace(p, '\s+', ' ', 'g')), 1, 500)) AS n FROM p WHERE trim(p) <> '')
+SELECT lang, count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 4) AS mean FROM n GROUP BY 1""",
+    "nested_study_records": """
+WITH o AS (SELECT o_custkey, least(20, count(DISTINCT o_orderstatus || o_orderpriority)) AS n FROM orders GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS trial_id, c_mktsegment AS phase, coalesce(n, 0) AS n_outcomes, n_name AS condition FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""",
 }
