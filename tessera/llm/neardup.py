@@ -76,20 +76,18 @@ def shingles(words: list[bytes], hashes: Words, n: int = SHINGLE) -> np.ndarray:
     return np.unique(x)
 
 
-def constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def constants() -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers for the samples, and salts."""
     r = np.random.default_rng(SEED)
     draw = lambda: r.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return draw(), draw(), draw()
+    return draw(), draw()
 
 
-def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """SAMPLES minimum hashes, one for each multiplier; large sets in parts."""
+def minima(s: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """SAMPLES minimum hashes, one for each multiplier (the set's hashes are mixed already); large sets in parts that stay in cache."""
     out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 256):
-        part = s[i : i + 256, None] * a
-        part += b
-        part ^= part >> np.uint64(29)
-        np.minimum(out, part.min(axis=0), out=out)
+    for i in range(0, len(s), 128):
+        np.minimum(out, np.multiply.outer(s[i : i + 128], a).min(axis=0), out=out)
     return out
 
 
@@ -97,7 +95,7 @@ def signature(docs: DataFrame, lower: bool = True, n: int = SHINGLE) -> DataFram
     """(doc_id, n_shingles, set_hash, bands, sketch) of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, (a, b, c) = Words(), constants()
+        hashes, (a, c) = Words(), constants()
         empty = xxhash.xxh3_128_digest(b"")
         for batch in batches:
             sizes, digests, bands, sketches = [], [], [], []
@@ -108,7 +106,7 @@ def signature(docs: DataFrame, lower: bool = True, n: int = SHINGLE) -> DataFram
                     digests.append(empty), bands.append([]), sketches.append([])
                     continue
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                m = minima(s, a, b)
+                m = minima(s, a)
                 key = np.zeros(BANDS, np.uint64)
                 for col in m.reshape(BANDS, ROWS).T:
                     key = mixed(key * M1 + col)
