@@ -85,11 +85,20 @@ def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return u, n > 1
 
 
+def distinct_pairs(h: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, and whether it was there twice."""
+    order = np.argsort(h, kind="stable")
+    h, i = h[order], i[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1])]))
+    return h[first], i[first], np.diff(np.append(first, len(h))) > 1
+
+
 def packed(df: DataFrame, name: str) -> str:
-    """(batch, h) to a table of a row a batch, its hashes packed, in folders of GROUP batches; its path."""
+    """(batch, h) to a table of a row a batch, its hashes packed, in folders of GROUP batches; its path. Row groups are small, so a reader
+    of one batch reads little else."""
     path = new_path(df.sparkSession, name)
     rows = df.groupBy("batch").agg(F.collect_set("h").alias("h")).withColumn("grp", F.floor(F.col("batch") / GROUP).cast("int"))
-    rows.repartition("grp").write.partitionBy("grp").parquet(path)
+    rows.write.partitionBy("grp").option("parquet.block.size", 1 << 20).parquet(path)
     return path
 
 
@@ -151,11 +160,10 @@ def confirmed_windows(batched: DataFrame, seed_path: str, window: int = WINDOW)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, size, batch, known = Words(), [], 0, None, None
-        two = np.dtype([("h", np.uint64), ("i", np.uint64)])
 
         def give() -> pd.DataFrame:
-            u, twice = distinct(held)
-            return pd.DataFrame({"h": u["h"].astype(np.uint64).view(np.int64), "i": u["i"].astype(np.int32), "batch": batch, "twice": twice})
+            h, i, twice = distinct_pairs(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+            return pd.DataFrame({"h": h.view(np.int64), "i": i.astype(np.int32), "batch": batch, "twice": twice})
 
         for b in parts:
             for n, own in b.groupby("batch", sort=False):
@@ -172,10 +180,8 @@ def confirmed_windows(batched: DataFrame, seed_path: str, window: int = WINDOW)
                     some = among(seeds(x, window)[0], known)
                     if some.any():
                         h, i = window_hashes(x, window)
-                        out = np.empty(int(some.sum()), two)
-                        out["h"], out["i"] = h[some], i[some]
-                        held.append(out)
-                        size += len(out)
+                        held.append((h[some], i[some]))
+                        size += len(held[-1][0])
         if held:
             yield give()
 
