@@ -16,19 +16,25 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import columns, lower_ascii, materialize, row_key, small
 
-#: Runs of these end a word (after A-Z became a-z).
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of these end a word, before A-Z become a-z.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 ANCHORS = 2
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD, -1), "")
+    """Words as they are written."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD, -1), "")
+
+
+def lowered(word: Column) -> Column:
+    """A-Z to a-z. Of ASCII words that is what lower() does, and quickly; a whole text is rarely ASCII, most words are."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(lower_ascii(word))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, phrase, len): the windows of each item as words joined by a space; a shorter item is one window."""
-    items = columns(benchmark, ["item_id", "text"], ["string", "string"]).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = columns(benchmark, ["item_id", "text"], ["string", "string"]).select("item_id", words(lower_ascii(F.col("text"))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
     cut = items.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i"), F.lit(window)).alias("w"))
     return cut.select("item_id", F.concat_ws(" ", "w").alias("phrase"), F.size("w").alias("len")).distinct()
@@ -36,14 +42,14 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def build_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index of the given terms: (term, key, positions), a row for each document that has the term."""
-    tokens = docs.select(row_key().alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    tokens = docs.select(row_key().alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "word")).select("key", "pos", lowered(F.col("word")).alias("term"))
     found = tokens.join(small(terms), "term")
     return found.groupBy("term", "key").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often the corpus has each of the terms; those it lacks are left out."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    tokens = docs.select(F.explode(words(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
     return tokens.join(small(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -66,7 +72,7 @@ def phrase_candidates(postings: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 8) -> DataFrame:
     """(key, item_id, distance): documents with the two rarest terms of an item at most slop words apart, and the least distance."""
-    items = materialize(columns(benchmark, ["item_id", "text"], ["string", "string"]).select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")), "terms")
+    items = materialize(columns(benchmark, ["item_id", "text"], ["string", "string"]).select("item_id", F.explode(F.array_distinct(words(lower_ascii(F.col("text"))))).alias("term")), "terms")
     counts = materialize(term_counts(docs, items.select("term").distinct()), "counts")
     by = Window.partitionBy("item_id").orderBy("n", "term")
     two = items.join(small(counts), "term").withColumn("rank", F.row_number().over(by)).where("rank <= 2")
@@ -99,7 +105,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     starts = materialize(starts, "candidates")
 
     read = docs.select(row_key().alias("key"), "doc_id", words(F.col("text")).alias("w")).join(small(starts), "key", "left")
-    found = F.transform("c", lambda c: F.struct(c["wid"].alias("wid"), c["start"].alias("start"), c["len"].alias("len"), F.concat_ws(" ", F.slice(F.col("w"), c["start"] + 1, c["len"])).alias("phrase")))
+    found = F.transform("c", lambda c: F.struct(c["wid"].alias("wid"), c["start"].alias("start"), c["len"].alias("len"), lower_ascii(F.concat_ws(" ", F.slice(F.col("w"), c["start"] + 1, c["len"]))).alias("phrase")))
     rows = materialize(read.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), found.alias("found")), "found")
 
     seen = rows.where("found is not null").select("key", F.explode("found").alias("f")).select("key", "f.*").distinct()
