@@ -88,7 +88,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     docs = columns(docs, ["doc_id", "text"], ["long", "string"]).where("text is not null")
     text = F.col("text")
     tried = docs.where(F.concat(*(F.when(text.contains("@") if h == "@" else text.rlike(h), "1").otherwise("") for h, _ in PATTERNS.values())) != "")
-    tried = tried.select(row_key().alias("key"), "text").distinct()
+    tried = materialize(tried.select(row_key().alias("key"), "text"), "tried")
     cut = []
     for rank, (kind, (hint, pattern)) in enumerate(PATTERNS.items()):
         one = tried.where(text.contains("@") if hint == "@" else text.rlike(hint))
@@ -105,6 +105,7 @@ def score(cut: list[DataFrame]) -> DataFrame:
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
+    rows = rows.distinct()  # of rows that repeat in full
     before = Window.partitionBy("key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(before).cast("long"))
     rows = rows.withColumn("start", F.col("end") - F.length("m")).where(confirmed(F.col("kind"), F.col("m")))
