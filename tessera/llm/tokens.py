@@ -29,12 +29,12 @@ from tessera.llm.shared import columns, new_path
 
 END_ID = 1
 CACHE_WORDS = 600_000
-BATCH = 500
+BATCH_CHARS = 1_600_000
 
 #: Words whose pieces cannot be told apart here: with anything but printable ASCII, less the apostrophe, and Latin letters.
 ODD = re.compile(r"^(?:.*[^!-&(-~\xC0-\xD6\xD8-\xF6\xF8-\xFF\n].*|.*<\|.*)$", re.M)
 #: White space to str.split(), but not to tokenizers.
-SEPARATOR = re.compile(r"[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 PIECE = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
@@ -83,11 +83,24 @@ class Encoder(dict):
         """The packed ids of each text; a null text is empty."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        split = [(re.split(r"[ \n\t\r]+", t.strip(" \n\t\r")) if SEPARATOR.search(t) else t.split()) if t else [] for t in texts]
+        split = [(re.split(r"[ \n\t\r]+", t.strip(" \n\t\r")) if any(c in t for c in SEPARATORS) else t.split()) if t else [] for t in texts]
         self.learn(list(set().union(*split).difference(self)))
         return [b"".join(map(self.__getitem__, ws)) for ws in split]
 
 
+def parts_of(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """texts in runs of about BATCH_CHARS characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= BATCH_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def target(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), re.sub("^file:", "", uri))
 
@@ -128,9 +141,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, widt
                 stream = fs.open_output_stream(part)
             nulls.append(b["doc_id"].isna().to_numpy().astype(np.uint8))
             ids.append(b["doc_id"].fillna(0).astype("int64").to_numpy())
-            texts = b["text"].tolist()
-            for i in range(0, len(texts), BATCH):
-                coded = [v + end for v in encode.texts(texts[i : i + BATCH])]
+            for texts in parts_of(b["text"].tolist()):
+                coded = [v + end for v in encode.texts(texts)]
                 stream.write(b"".join(coded))
                 for v in coded:
                     at += len(v) * 8 // width
