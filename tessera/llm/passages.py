@@ -8,7 +8,8 @@ A window is `window` consecutive words. Words are hashed to 64 bits, windows to
   confirmed: that word sequence starts in two places.
 4 Of each batch, documents' runs of confirmed windows are the recurring passages. Windows that just cover a passage become phrases (as
   sequences of word numbers), phrases of SHARD_WORDS words of documents at a time are compiled into an Aho-Corasick automaton with
-  pyahocorasick, and all documents of the shard stream through it; words of an occurrence are removed.
+  pyahocorasick, and the shard's documents stream through it (those without a confirmed window cannot hold one); words of an occurrence
+  are removed.
 What a batch gives to a shuffle holds a hash once, so a passage that a third of all rows have gives at most a row a batch, and no step
 gathers a group. Recurring seeds and confirmed hashes go back to their batches as packed rows in files by group of batches, which a task reads
 for its own batch.
@@ -20,6 +21,7 @@ rows that repeat in full are occurrences of each other; kept_sha256 of no words
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,9 @@ from tessera.llm.shared import columns, materialize, new_path
 from tessera.llm.tokens import target
 
 WINDOW, GRAM = 35, 8
-SHARD_WORDS = 400_000
+SHARD_WORDS = 250_000
 GROUP = 64  # batches a folder
-BUFFER = 2_000_000  # windows that a task holds before it gives their distinct hashes
+BUFFER = 1_000_000  # windows that a task holds before it gives their distinct hashes
 A, B = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
 
 
@@ -232,12 +234,15 @@ def remove(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS
         held = 0
 
         def give() -> pd.DataFrame:
+            # A document without a confirmed window has no occurrence of a phrase; the others stream through the automaton.
             numbers: dict[bytes, int] = {}
-            coded = [(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in ws), np.int64, len(ws)), starts) for _, ws, starts in shard]
-            out = []
-            for (doc, ws, _), gone in zip(shard, locate(coded, window), strict=True):
-                text = b" ".join([w for w, g in zip(ws, gone.tolist(), strict=True) if not g] if gone.any() else ws)
-                out.append((doc, len(ws), int(gone.sum()), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if keep_text else None))
+            coded = [(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in ws), np.int64, len(ws)), starts) for _, ws, starts in shard if len(starts)]
+            masks, out = iter(locate(coded, window)), []
+            for doc, ws, starts in shard:
+                gone = next(masks) if len(starts) else None
+                left = ws if gone is None else list(itertools.compress(ws, (~gone).tolist()))
+                text = b" ".join(left)
+                out.append((doc, len(ws), len(ws) - len(left), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if keep_text else None))
             df = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
             return df.astype({"doc_id": "Int64"})
 
