@@ -56,7 +56,7 @@ def build(studies: DataFrame, children: dict[str, DataFrame], mechanisms: DataFr
         joined = own["drugs"].select("study_id", F.col("drug_moa_id").cast("string").alias("drug_moa_id")).distinct().join(moa, "drug_moa_id", "left")
         kids["drug_moa"] = (joined, [c for c in moa.columns if c != "drug_moa_id"])
     records = R.nested_records(base, kids, "study_id", most)
-    return records.withColumnRenamed("study_id", "trial_id").withColumn("source", F.lit("panorama"))
+    return records.withColumnRenamed("study_id", "trial_id").withColumn("source", F.lit("tables"))
 
 
 def relation_edges(relations: DataFrame, studies: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def documents(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("id"), F.decode("content", "UTF-8").alias("content"))
 
 
-def entity_tables(spark: SparkSession, root: str, table: str, mode: str = "auto", other: str = "notebooklm") -> DataFrame:
+def entity_tables(spark: SparkSession, root: str, table: str, mode: str = "auto", other: str = "filled") -> DataFrame:
     """A table kept in a folder for each entity, `root/NCT*/table.csv` or an alternative `root/NCT*/<other>/table_<other>.csv`.
 
     mode auto takes an entity's alternative where there is one, base and alternative take that alone."""

@@ -84,7 +84,7 @@ def test_files(spark, tmp_path):
 
 
 def test_entity_tables(spark, tmp_path):
-    for entity, name, text in (("NCT1", "Design.csv", "a\nbase1\n"), ("NCT2", "Design.csv", "a\nbase2\n"), ("NCT2", "notebooklm/Design_notebooklm.csv", "a,b\nfill2,z\n")):
+    for entity, name, text in (("NCT1", "Design.csv", "a\nbase1\n"), ("NCT2", "Design.csv", "a\nbase2\n"), ("NCT2", "filled/Design_filled.csv", "a,b\nfill2,z\n")):
         path = tmp_path / entity / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
