@@ -121,8 +121,8 @@ def simhash_pairs(sigs: DataFrame, max_distance: int = 8) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None) -> DataFrame:
     """(query, id, score, rank) by inner product of unit vectors, the query's own id aside; with a group its best member counts.
 
-    queries is (query, vector) and is small by contract: every vector meets every query, as an exact search has it."""
-    q = F.broadcast(queries.select("query", N.unit(F.col("vector")).alias("q")))
+    queries is (query, vector): every vector meets every query, as an exact search has it."""
+    q = queries.select("query", N.unit(F.col("vector")).alias("q"))
     v = vectors.where(N.finite(F.col("vector"))).select("id", N.unit(F.col("vector")).alias("v"), *([group] if group else []))
     scored = v.join(q, v["id"] != q["query"]).select("query", "id", *([group] if group else []), F.round(N.dot(F.col("q"), F.col("v")), 6).alias("score"))
     if group:
@@ -165,14 +165,14 @@ def cascade(relation: DataFrame | None, vector: DataFrame | None, simhash_hits:
     return scan
 
 
-def recommend(current: DataFrame, peers: DataFrame) -> DataFrame:
+def recommend(current: DataFrame, peers: DataFrame, by: str = "id") -> DataFrame:
     """(id, action): rules on a record's features (randomized, control, strictness, endpoint) against the means of its peers, in a fixed order.
 
-    peers is (query, strictness, endpoint); a tie for the most common endpoint goes to the first by name."""
-    by = Window.partitionBy("query").orderBy(F.desc("n"), "endpoint")
-    common = peers.where("endpoint <> ''").groupBy("query", "endpoint").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(by)).where("r = 1").select("query", F.col("endpoint").alias("common"))
+    peers is (query, strictness, endpoint), query being what records have in the column `by`, so records of one group can share their peers; a tie for the most common endpoint goes to the first by name."""
+    first = Window.partitionBy("query").orderBy(F.desc("n"), "endpoint")
+    common = peers.where("endpoint <> ''").groupBy("query", "endpoint").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(first)).where("r = 1").select("query", F.col("endpoint").alias("common"))
     means = peers.groupBy("query").agg(F.avg("strictness").alias("mean"))
-    rows = current.join(means, current["id"] == means["query"], "left").drop("query").join(common, current["id"] == common["query"], "left").drop("query")
+    rows = current.join(means, current[by] == means["query"], "left").drop("query").join(common, current[by] == common["query"], "left").drop("query")
     mean = F.coalesce("mean", F.lit(0.0))
     rules = [
         (~F.col("randomized"), "randomize"),

@@ -44,6 +44,11 @@ def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 # Search
 
 
+def queried(df: DataFrame, ident: str) -> DataFrame:
+    """The records that searches take as queries: every one whose id is divisible by 50, at any size of the data."""
+    return df.where(F.col(ident) % 50 == 0)
+
+
 def document_index(t: Tables) -> DataFrame:
     return S.token_index(t.documents, "doc_id", {"text": F.col("text")})
 
@@ -80,11 +85,11 @@ def token_counts(t: Tables) -> DataFrame:
 
 @query
 def structured_tiered_topk(t: Tables) -> DataFrame:
-    """Parts like parts 1 to 20: name as condition, type as drug, brand as biomarker, size as phase."""
+    """Parts like each queried part: name as condition, type as drug, brand as biomarker, size as phase."""
     part = t.part
     index = S.token_index(part, "p_partkey", {"condition": F.col("p_name"), "drug": F.col("p_type"), "biomarker": F.col("p_brand")})
     meta = part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("phase"), F.lit("").alias("type"))
-    queries = part.where("p_partkey between 1 and 20").select(F.col("p_partkey").alias("query"), F.col("p_partkey").alias("id"))
+    queries = queried(part, "p_partkey").select(F.col("p_partkey").alias("query"), F.col("p_partkey").alias("id"))
     found = S.tiered(index, S.token_counts(index), meta, queries, k=5)
     return found.select("query", "rank", "tier", "id", F.round("score", 6).alias("score"))
 
@@ -104,14 +109,14 @@ def simhash_lsh_pairs(t: Tables) -> DataFrame:
 @query
 def vector_topk(t: Tables) -> DataFrame:
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    q = queried(t.embeddings, "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return S.vector_top_k(v, q, 10)
 
 
 @query
 def vector_topk_grouped(t: Tables) -> DataFrame:
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    q = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    q = queried(t.embeddings, "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return S.vector_top_k(v, q, 3, "label")
 
 
@@ -129,8 +134,8 @@ def edges_build(t: Tables) -> DataFrame:
 
 @query
 def khop_related(t: Tables) -> DataFrame:
-    """Suppliers related to customers 1 to 5 within three hops."""
-    start = t.customer.where("c_custkey between 1 and 5").select(R.node(F.lit("customer"), F.col("c_custkey")).alias("query")).withColumn("node", F.col("query"))
+    """Suppliers related to each queried customer within three hops."""
+    start = queried(t.customer, "c_custkey").select(R.node(F.lit("customer"), F.col("c_custkey")).alias("query")).withColumn("node", F.col("query"))
     return S.related(relation_edges(t), start, "supplier:", 5, 3)
 
 
@@ -147,14 +152,14 @@ def name_lookup(t: Tables) -> DataFrame:
 
 @query
 def combined_score_scan(t: Tables) -> DataFrame:
-    """Parts scored against part 1 by the whole-record score."""
-    q = t.part.where("p_partkey = 1").select(X.token_set(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("q"), F.col("p_size").alias("q_size"), F.lower("p_type").alias("q_type"), F.lower("p_brand").alias("q_brand"), F.split(F.lower("p_name"), " ").alias("q_name"))
-    rows = t.part.where("p_partkey <> 1").join(F.broadcast(q))
-    lexical = N.jaccard(F.col("q"), X.token_set(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
-    name = N.jaccard(F.col("q_name"), F.split(F.lower("p_name"), " "))
-    brand = N.jaccard(F.array("q_brand"), F.array(F.lower("p_brand")))
-    score = S.combined_score(lexical, F.col("p_size") == F.col("q_size"), name, F.lower("p_type") == F.col("q_type"), brand, F.lit(0.0))
-    return rows.select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(10)
+    """The ten parts most like each queried part by the whole-record score."""
+    part = t.part.repartition(t.spark.sparkContext.defaultParallelism).select("p_partkey", X.token_set(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"), F.col("p_size").alias("size"), F.lower("p_type").alias("type"), F.array(F.lower("p_brand")).alias("brand"), F.split(F.lower("p_name"), " ").alias("name"))
+    q = queried(part, "p_partkey").select(F.col("p_partkey").alias("query"), *(F.col(c).alias(f"q_{c}") for c in part.columns[1:]))
+    rows = part.join(q, F.col("p_partkey") != F.col("query"))
+    like = {c: N.jaccard(F.col(f"q_{c}"), F.col(c)) for c in ("tokens", "name", "brand")}
+    score = S.combined_score(like["tokens"], F.col("size") == F.col("q_size"), like["name"], F.col("type") == F.col("q_type"), like["brand"], F.lit(0.0))
+    scored = rows.select("query", "p_partkey", F.round(score, 6).alias("score"))
+    return S.top_k(scored, 10, ["query"], [F.desc("score"), F.col("p_partkey")]).select("query", "p_partkey", "score")
 
 
 # Merges
@@ -330,12 +335,11 @@ def trial_features(t: Tables) -> DataFrame:
 
 @query
 def recommend_rules(t: Tables) -> DataFrame:
-    """Rules for the parts of size 1 against the parts of their brand."""
+    """Rules for every part against the parts of its brand."""
     endpoint = X.endpoint_type(F.col("p_type"))
     feats = t.part.select(F.col("p_partkey").alias("id"), "p_brand", (F.col("p_size") % 2 == 0).alias("randomized"), (F.col("p_size") % 3 == 0).alias("control"), (F.col("p_size") / 50).alias("strictness"), F.lower(endpoint).alias("endpoint"), "p_size")
-    current = feats.where("p_size = 1")
-    peers = current.select(F.col("id").alias("query"), "p_brand").join(feats.select("p_brand", "strictness", "endpoint"), "p_brand")
-    return S.recommend(current, peers).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    peers = feats.select(F.col("p_brand").alias("query"), "strictness", "endpoint")
+    return S.recommend(feats, peers, "p_brand").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Profiles
