@@ -318,10 +318,10 @@ def html_fields(t: Tables) -> DataFrame:
 
 @query
 def evidence_validate(t: Tables) -> DataFrame:
-    """Starts of benchmark items of at most 240 characters, as evidence from the documents of one source."""
-    item = t.benchmark.select("item_id", F.substring("text", 1, 60).alias("evidence"))
-    docs = t.documents.where("source = 'src0'").select("doc_id", "text")
-    pairs = docs.join(F.broadcast(item))
+    """Whole benchmark items, in segments of at most 240 characters, as evidence from all documents."""
+    segments = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / 240).cast("int") - 1), lambda i: F.trim(F.substring(F.col("text"), i * 240 + 1, F.lit(240))))
+    item = t.benchmark.where(F.length("text") > 0).select("item_id", F.array_join(segments, " | ").alias("evidence"), F.trim(F.substring("text", 1, 240)).alias("first"))
+    pairs = t.documents.select("doc_id", "text").join(F.broadcast(item), F.contains("text", F.substring_index("first", " | ", 1)))
     return pairs.where(A.evidence_holds(F.col("evidence"), F.col("text"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -615,8 +615,8 @@ def scalar_parsers(t: Tables) -> DataFrame:
 
 @query
 def focus_lengths(t: Tables) -> DataFrame:
-    """Chunks of at most 500 characters of each document's lines, and their lengths."""
-    rows = t.documents.select("lang", F.explode(F.transform(F.filter(F.split("text", "\n"), lambda p: F.trim(p) != ""), lambda p: F.length(F.substring(X.squeeze(p), 1, 500)))).alias("n"))
+    """Each document's lines as chunks, whole, and their lengths."""
+    rows = t.documents.select("lang", F.explode(F.transform(F.filter(F.split("text", "\n"), lambda p: F.trim(p) != ""), lambda p: F.length(X.squeeze(p)))).alias("n"))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.min("n").cast("long").alias("least"), F.max("n").cast("long").alias("most"), F.round(F.avg("n"), 4).alias("mean"))
 
 

@@ -14,6 +14,10 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(i, i % 3) for i in range(1, 121)], "c_custkey long, c_nationkey int").write.parquet(f"{folder}/customer.parquet")
     spark.createDataFrame([(i, i % 3) for i in range(1, 10)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
     spark.createDataFrame([(i, 0) for i in range(3)], "n_nationkey int, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+    item = "".join(f"{i:03d} " for i in range(90))
+    spark.createDataFrame([(0, item), (1, "short item"), (2, "x" * 240 + " | y"), (3, ""), (4, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = [(0, f"a {item}b", "en", "src0"), (1, item, "de", "src1"), (2, item[:300], "en", "src0"), (3, "one short item", "de", "src2"), (4, "z" * 700 + "\n \nzz  z", "fr", "src0"), (5, None, "fr", "src0"), (6, "x" * 240 + " | y", "es", "src3"), (7, "x" * 240, "es", "src3")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
     return str(folder)
 
 
@@ -42,3 +46,13 @@ def test_combined_score_scan(spark, tables):
 def test_recommend_rules_take_every_part(spark, tables):
     got = {r["action"]: r["n"] for r in catalog.queries()["recommend_rules"](spark, tables).collect()}
     assert got["randomize"] == sum((i % 5 + 1) % 2 == 1 for i in range(1, 121)) and got["add_control"] == sum((i % 5 + 1) % 3 != 0 for i in range(1, 121))
+
+
+def test_evidence_is_whole_items_in_all_documents(spark, tables):
+    got = {tuple(r) for r in catalog.queries()["evidence_validate"](spark, tables).collect()}
+    assert got == {(0, 2), (1, 1), (2, 1)}
+
+
+def test_focus_lengths_measure_whole_lines(spark, tables):
+    got = {r["lang"]: tuple(r)[1:] for r in catalog.queries()["focus_lengths"](spark, tables).collect()}
+    assert got["fr"] == (2, 4, 700, 352.0)
