@@ -3,9 +3,10 @@
 Events are gathered into lines, one for each run of text between block tags or breaks, with the number of tags met, the container the line
 stands in (the nearest article, main, section, div, td or body) and whether it is inside something that is never article text: head,
 scripts, styles, navigation, page headers and footers, asides, forms, hidden parts, or elements whose class, id or role says advert,
-notice, sidebar, comment and so on. Where the page marks articles (or main), their lines are the content. Elsewhere lines have their
-text-to-tag ratio, smoothed by a Gaussian; a threshold that parts the smoothed ratios into two clusters selects content lines. In a
-container that holds such lines, everything between the first and the last line above the threshold, smoothed or not, is content.
+notice, sidebar, comment and so on. The other lines have their text-to-tag ratio, smoothed by a Gaussian; a threshold that parts the
+smoothed ratios into two clusters selects content lines, and with them the regions that hold such lines: the outermost article that a line
+is in, or its container. In a region, everything between the first and the last line above the threshold, smoothed or not, is content; of an
+article, or of the lines that stand in main itself, everything is, and so is an article between the content lines of a chosen region.
 
 Defined cases: a null or empty html, or one without content lines, gives the empty string; unclosed and stray tags are closed as by their
 ancestors; rows repeat as they are; a null page_id or url stays. Other columns are ignored.
@@ -45,7 +46,7 @@ SPACES = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """lines: [text parts, tags, container, never, in an article, in main]."""
+    """lines: [text parts, tags, region, never, whether the region is content as a whole]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -59,8 +60,9 @@ class Lines(HTMLParser):
     def line(self) -> list:
         if self.fresh or not self.lines:
             never, holder = self.state()
-            tags = {t for t, *_ in self.stack}
-            self.lines.append([[], 0, holder, never, "article" in tags, "main" in tags])
+            article = next((at for t, _, at in self.stack if t == "article"), None)
+            nearest = next((t for t, *_ in reversed(self.stack) if t in HOLDS), None)
+            self.lines.append([[], 0, holder if article is None else article, never, article is not None or nearest == "main"])
             self.fresh = False
         return self.lines[-1]
 
@@ -153,9 +155,6 @@ def main_text(html: str | None) -> str:
     p.close()
     lines = [(SPACES.sub(" ", "".join(parts)).strip(), *rest) for parts, *rest in p.lines]
     lines = [x for x in lines if x[0] and not x[3]]
-    for mark in (4, 5):
-        if marked := [x[0] for x in lines if x[mark]]:
-            return " ".join(marked)
     if not lines:
         return ""
     own = np.log1p([len(x[0]) / (1 + x[1]) for x in lines])
@@ -164,9 +163,14 @@ def main_text(html: str | None) -> str:
     holders = {x[2] for i, x in enumerate(lines) if ratio[i] > least}
     spans: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
-        if x[2] in holders and max(ratio[i], own[i]) > least:
+        if x[2] in holders and (x[4] or max(ratio[i], own[i]) > least):
             spans.setdefault(x[2], []).append(i)
-    return " ".join(x[0] for i, x in enumerate(lines) if x[2] in spans and spans[x[2]][0] <= i <= spans[x[2]][-1])
+    cover = np.zeros(len(lines) + 1, np.int64)  # spans that are open at a line
+    for span in spans.values():
+        cover[span[0]] += 1
+        cover[span[-1] + 1] -= 1
+    cover = cover.cumsum()
+    return " ".join(x[0] for i, x in enumerate(lines) if x[2] in spans and spans[x[2]][0] <= i <= spans[x[2]][-1] or x[4] and cover[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:
