@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from tessera.operators.profile import stacked
 
+#: Columns that one_hot makes at most of a column's own values.
+MOST_CATEGORIES = 1000
+
 
 def feature_types(df: DataFrame, keys: list[str]) -> dict[str, str]:
     """Numeric and boolean columns are numeric, the rest categorical."""
@@ -48,9 +51,11 @@ def label_codes(df: DataFrame, column: str, into: str) -> DataFrame:
 
 
 def one_hot(df: DataFrame, column: str, categories: list | None = None) -> DataFrame:
-    """A 0/1 column for each category; without a list the categories are the column's values, which must be few."""
+    """A 0/1 column for each category; without a list the categories are the column's values; more than MOST_CATEGORIES are an error."""
     if categories is None:
-        categories = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(1000).collect()]
+        categories = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(MOST_CATEGORIES + 1).collect()]
+        if len(categories) > MOST_CATEGORIES:
+            raise ValueError(f"{column} has more than {MOST_CATEGORIES} categories: too many for a column each")
     return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in categories}).drop(column)
 
 
