@@ -5,8 +5,9 @@ The network reads each run in both directions and gives every position a distrib
 the mean over all its positions. As a run's positions depend on the run alone, a task labels each distinct run once and adds it up as
 often as it occurs.
 
-Training uses a bounded sample: at most `per_lang` documents of each language and SAMPLE_DOCS in all, drawn by a seeded hash of doc_id, at
-most SLICES slices of SLICE characters of each, and the MAX_LANGS most frequent languages. Prediction reads every text whole.
+Training uses a bounded sample: every labelled language, at most `per_lang` documents of each and `sample_docs` in all (but 20 of each
+language), drawn by a seeded hash of doc_id, and at most SLICES slices of SLICE characters of each. Of the pieces of a document's slices at
+most `doc_pieces` are drawn, and of all those at most `pieces`. Prediction reads every text whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a null lang teaches nothing; a null doc_id is neither held out
 nor learned from; without any labelled row every text is `und`; ties go to the language that sorts first. Other columns are ignored.
@@ -22,12 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import columns
+from tessera.llm.shared import columns, small
 
 HIDDEN, SPAN, SEED = 16, 24, 11
-SAMPLE_DOCS, PER_LANG, MAX_LANGS = 4_000, 400, 100
+SAMPLE_DOCS, PER_LANG = 4_000, 400
+DOC_PIECES, PIECES = 300, 120_000
 SLICES, SLICE = 4, 400
 EPOCHS, BATCH, RATE = 6, 256, 0.01
+#: Distinct runs that a task keeps, fewer beyond 100 languages.
 CACHE = 150_000
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -158,7 +161,7 @@ class Pool:
 
     def documents(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's probabilities."""
-        if len(self.at) > CACHE:
+        if len(self.at) * max(100, len(self.net.langs)) > 100 * CACHE:
             self.at.clear()
             self.sums, self.sizes = self.sums[:0], self.sizes[:0]
         words = [runs_of(t) for t in texts]
@@ -176,31 +179,34 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_lang: int = PER_LANG) -> Network | None:
-    """A network trained on a bounded sample of the rows that have a lang and are not held out."""
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_lang: int = PER_LANG, doc_pieces: int = DOC_PIECES, pieces: int = PIECES) -> Network | None:
+    """A network trained on a bounded sample of the rows that have a lang and are not held out.
+
+    doc_pieces bounds the pieces (of up to SPAN bytes) drawn from one document's slices, pieces those of all documents together."""
     docs = columns(docs, ["doc_id", "text", "lang"], ["long", "string", "string"])
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
     n = max(20, min(per_lang, sample_docs // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000_007)) / 1_000_000_007.0
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, 1.5 * n / r["count"])).otherwise(rate)
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * n / r["count"])) for r in counts], "lang string, rate double")
     size = F.length("text")
     slices = [F.expr(f"substring(text, cast(floor(length(text) * {i} / {SLICES}) as int) + 1, {SLICE})") for i in range(SLICES)]
     text = F.when(size <= SLICES * SLICE, F.col("text")).otherwise(F.concat_ws(" ", *slices))
-    rows = known.withColumn("draw", draw).where(F.col("draw") < rate).select("lang", "draw", text.alias("text")).orderBy("draw").limit(2 * sample_docs).collect()
+    rows = known.join(small(rates), "lang").withColumn("draw", draw).where("draw < rate").select("lang", "draw", text.alias("text")).orderBy("draw").limit(2 * max(sample_docs, n * len(counts))).collect()
     langs = sorted(r["lang"] for r in counts)
-    runs, y, seen = [], [], dict.fromkeys(langs, 0)
+    place, seen, random = {x: i for i, x in enumerate(langs)}, dict.fromkeys(langs, 0), np.random.default_rng(SEED)
+    runs, y = [], []
     for r in rows:
         if seen[r["lang"]] < n:
             seen[r["lang"]] += 1
-            own = [p for w in runs_of(r["text"]) for p in cut(w)][:300]
+            own = [p for w in runs_of(r["text"]) for p in cut(w)]
+            if len(own) > doc_pieces:
+                own = [own[i] for i in random.permutation(len(own))[:doc_pieces]]
             runs += own
-            y += [langs.index(r["lang"])] * len(own)
-    take = np.random.default_rng(SEED).permutation(len(runs))[:120_000]
+            y += [place[r["lang"]]] * len(own)
+    take = np.random.default_rng(SEED).permutation(len(runs))[:pieces]
     return Network(langs).train([runs[i] for i in take], np.array(y, np.int64)[take])
 
 
