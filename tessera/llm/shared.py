@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast only after it has been found to have no more bytes than this, written as JSON.
+BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch that a task has as Python objects at a time.
+SLICE_ROWS = 512
 
 #: White space that ends a word, as Java and Python regular expressions write it.
 SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one, set from here on."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, set from here on, if all runs on this machine; else an error,
+    as executors of a cluster would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,11 +49,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most that many rows; else as it is, for a shuffled join that AQE can split.
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if all its rows, written as JSON, have at most that many bytes; else as it is, for a shuffled join that AQE can
+    split. A first look at the number of rows settles it for large tables.
 
-    df should be cheap to count: a table written by materialize()."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    df should be cheap to read: a table written by materialize()."""
+    if df.count() > most // 16:
+        return df
+    found = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16).alias("n")).first()
+    return F.broadcast(df) if (found.n or 0) <= most else df
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df through run, which gets Arrow batches of at most SLICE_ROWS rows. Columns that run passes on stay as they are: ids keep all their
+    bits beside nulls. A worker gives its memory back to the system when a task ends, so idle ones of an executor hold little."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS))
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return df.mapInArrow(task, schema)
 
 
 def lower_ascii(text: Column) -> Column:
