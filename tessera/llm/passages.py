@@ -6,16 +6,17 @@ A window is `window` consecutive words. Words are hashed to 64 bits, windows to
   distinct seeds once, and whether it stands in two places there. Seeds with two rows or that mark are recurring.
 3 Of windows with a recurring seed, a batch gives each distinct hash once, with the same mark. Hashes with two rows or the mark are
   confirmed: that word sequence starts in two places.
-4 Of each batch, documents' runs of confirmed windows are the recurring passages. Windows that just cover a passage become phrases (as
-  sequences of word numbers), phrases of SHARD_WORDS words of documents at a time are compiled into an Aho-Corasick automaton with
-  pyahocorasick, and the shard's documents stream through it (those without a confirmed window cannot hold one); words of an occurrence
-  are removed.
+4 Runs of confirmed windows are recurring passages. Of each, windows that just cover it become phrases, as text; the phrases of the whole
+  corpus, each once, are dealt to the batches that have their window, whichever document they came from.
+5 A batch's phrases, SHARD_PHRASES at a time, are compiled into Aho-Corasick automata over word numbers with pyahocorasick, and all the
+  batch's documents stream through all of these. The automata's matches alone say which words go.
 What a batch gives to a shuffle holds a hash once, so a passage that a third of all rows have gives at most a row a batch, and no step
-gathers a group. Recurring seeds and confirmed hashes go back to their batches as packed rows in files by group of batches, which a task reads
-for its own batch.
+gathers a group. Recurring seeds, confirmed hashes and phrases go back to their batches in files by group of batches, sorted by batch, of which
+a task reads its own batch's.
 
 Defined cases: a null text has no words; a text of fewer words than a window keeps all; windows overlap and may recur in one document;
-rows that repeat in full are occurrences of each other; kept_sha256 of no words is that of the empty text. Other columns are ignored.
+rows that repeat in full are occurrences of each other; kept_sha256 of no words is that of the empty text; an empty table gives no rows; a
+text of any length is worked on whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +26,18 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.neardup import M1, Words, mixed
-from tessera.llm.shared import columns, materialize, new_path
+from tessera.llm.shared import columns, mapped, materialize, new_path
 from tessera.llm.tokens import target
 
 WINDOW, GRAM = 35, 8
-SHARD_WORDS = 250_000
+SHARD_PHRASES = 12_000
+CHUNK_WORDS = 2_000_000  # words of documents that a task holds as numbers
 GROUP = 64  # batches a folder
 BUFFER = 1_000_000  # windows that a task holds before it gives their distinct hashes
 A, B = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
@@ -69,12 +71,12 @@ def least(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (k - step)], x[k - step :]) if k > step else x
 
 
-def seeds(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The seed of every window, and the hashes at all places that are the seed of some window."""
+def seeds(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The seed of every window, and the hashes at all places that are the seed of some window; of those in `whole` alone, if given."""
     g = rolling(h, gram, A)
     span = window - gram + 1
     m = least(g, span)
-    pad = np.concatenate([np.zeros(span - 1, np.uint64), m, np.zeros(span - 1, np.uint64)])
+    pad = np.concatenate([np.zeros(span - 1, np.uint64), m if whole is None else np.where(whole, m, np.uint64(0)), np.zeros(span - 1, np.uint64)])
     return m, g[~least(~pad, span) == g]
 
 
@@ -82,6 +84,17 @@ def window_hashes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.n
     return rolling(h, window, A), rolling(h, window, B) >> np.uint64(33)
 
 
+class Slice:
+    """The words of some documents, those that have a window one after another, with their hashes; `whole` tells which windows lie in one."""
+
+    def __init__(self, texts: list[str | None], hashes: Words, window: int):
+        self.split = [ws for t in texts if len(ws := words_of(t)) >= window]
+        self.sizes = np.array([len(ws) for ws in self.split], np.int64)
+        self.h = hashes.of(list(itertools.chain.from_iterable(self.split)))
+        ends = np.repeat(np.cumsum(self.sizes), self.sizes)
+        self.whole = (np.arange(len(self.h)) + window <= ends)[: max(0, len(self.h) - window + 1)]
+
+
 def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     u, n = np.unique(np.concatenate(parts), return_counts=True)
     return u, n > 1
@@ -96,23 +109,35 @@ def distinct_pairs(h: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def packed(df: DataFrame, name: str) -> str:
-    """(batch, h) to a table of a row a batch, its hashes packed, in folders of GROUP batches; its path. Row groups are small, so a reader
-    of one batch reads little else."""
+    """(batch, v) to a table in folders of GROUP batches, sorted by batch; its path. Row groups are small, so a reader of one batch reads little
+    else."""
     path = new_path(df.sparkSession, name)
-    rows = df.groupBy("batch").agg(F.collect_set("h").alias("h")).withColumn("grp", F.floor(F.col("batch") / GROUP).cast("int"))
-    rows.write.partitionBy("grp").option("parquet.block.size", 1 << 20).parquet(path)
+    rows = df.withColumn("grp", F.floor(F.col("batch") / GROUP).cast("int")).repartition("batch").sortWithinPartitions("grp", "batch")
+    rows.write.partitionBy("grp").option("parquet.block.size", 1 << 20).option("compression", "zstd").parquet(path)
     return path
 
 
-def own_hashes(path: str, batch: int) -> np.ndarray:
-    """The sorted hashes that packed() has for a batch."""
+def own_rows(path: str, batch: int) -> pa.ChunkedArray | list:
+    """What packed() has for a batch."""
     fs, base = target(path)
     folder = f"{base}/grp={batch // GROUP}"
     if fs.get_file_info(folder).type.name == "NotFound":
-        return np.empty(0, np.uint64)
-    found = pads.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["h"], filter=pads.field("batch") == batch)["h"].combine_chunks()
-    flat = found.flatten() if len(found) else []
-    return np.sort(np.asarray(flat, dtype=np.int64).view(np.uint64))
+        return []
+    return pads.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["v"], filter=pads.field("batch") == batch)["v"]
+
+
+def own_hashes(path: str, batch: int) -> np.ndarray:
+    return np.sort(np.asarray(own_rows(path, batch), dtype=np.int64).view(np.uint64))
+
+
+def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of one batch each; the batch's number is the last column."""
+    for b in batches:
+        n = np.asarray(b.column(b.num_columns - 1))
+        at = [0, *(np.flatnonzero(np.diff(n)) + 1).tolist(), len(n)]
+        for i, j in itertools.pairwise(at):
+            if i < j:
+                yield int(n[i]), b.slice(i, j - i)
 
 
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -132,64 +157,88 @@ def batches_of(docs: DataFrame) -> DataFrame:
 
 
 def recurring_seeds(batched: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(batch, h): the seeds of each batch that stand in two places of the corpus."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size, batch = Words(), [], 0, None
-        for b in parts:
-            for n, own in b.groupby("batch", sort=False):
-                if held and (n != batch or size > BUFFER):
-                    u, twice = distinct(held)
-                    yield pd.DataFrame({"h": u.view(np.int64), "batch": batch, "twice": twice})
-                    held, size = [], 0
-                batch = n
-                for t in own["text"]:
-                    ws = words_of(t)
-                    if len(ws) >= window:
-                        held.append(seeds(hashes.of(ws), window)[1])
-                        size += len(held[-1])
-        if held:
+    """(batch, v): the seeds of each batch that stand in two places of the corpus."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size, batch = Words(), [], 0, 0
+
+        def give() -> pa.RecordBatch:
             u, twice = distinct(held)
-            yield pd.DataFrame({"h": u.view(np.int64), "batch": batch, "twice": twice})
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), batch, np.int32)), pa.array(twice)], ["h", "batch", "twice"])
+
+        for n, own in by_batch(parts):
+            if held and (n != batch or size > BUFFER):
+                yield give()
+                held, size = [], 0
+            batch, x = n, Slice(own.column(0).to_pylist(), hashes, window)
+            if len(x.h):
+                held.append(seeds(x.h, window, whole=x.whole)[1])
+                size += len(held[-1])
+        if held:
+            yield give()
 
-    rows = materialize(batched.select("text", "batch").mapInPandas(run, "h long, batch int, twice boolean"), "seeds")
+    rows = materialize(mapped(batched.select("text", "batch"), run, "h long, batch int, twice boolean"), "seeds")
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("h")
-    return rows.select("h", "batch").join(often, "h")
+    return rows.select("h", "batch").join(often, "h").select("batch", F.col("h").alias("v")).distinct()
 
 
 def confirmed_windows(batched: DataFrame, seed_path: str, window: int = WINDOW) -> DataFrame:
     """(batch, h): the windows of each batch whose word sequence starts in two places of the corpus."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size, batch, known = Words(), [], 0, None, None
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size, batch, known = Words(), [], 0, None, np.empty(0, np.uint64)
 
-        def give() -> pd.DataFrame:
+        def give() -> pa.RecordBatch:
             h, i, twice = distinct_pairs(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
-            return pd.DataFrame({"h": h.view(np.int64), "i": i.astype(np.int32), "batch": batch, "twice": twice})
-
-        for b in parts:
-            for n, own in b.groupby("batch", sort=False):
-                if held and (n != batch or size > BUFFER):
-                    yield give()
-                    held, size = [], 0
-                if n != batch:
-                    batch, known = n, own_hashes(seed_path, int(n))
-                for t in own["text"]:
-                    ws = words_of(t)
-                    if len(ws) < window:
-                        continue
-                    x = hashes.of(ws)
-                    some = among(seeds(x, window)[0], known)
-                    if some.any():
-                        h, i = window_hashes(x, window)
-                        held.append((h[some], i[some]))
-                        size += len(held[-1][0])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(i.astype(np.int32)), pa.array(np.full(len(h), batch, np.int32)), pa.array(twice)], ["h", "i", "batch", "twice"])
+
+        for n, own in by_batch(parts):
+            if held and (n != batch or size > BUFFER):
+                yield give()
+                held, size = [], 0
+            if n != batch:
+                batch, known = n, own_hashes(seed_path, n)
+            x = Slice(own.column(0).to_pylist(), hashes, window)
+            if len(x.h) and (some := among(seeds(x.h, window)[0], known) & x.whole).any():
+                h, i = window_hashes(x.h, window)
+                held.append((h[some], i[some]))
+                size += int(some.sum())
         if held:
             yield give()
 
-    rows = materialize(batched.select("text", "batch").mapInPandas(run, "h long, i int, batch int, twice boolean"), "windows")
+    rows = materialize(mapped(batched.select("text", "batch"), run, "h long, i int, batch int, twice boolean"), "windows")
     often = rows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("h", "i")
-    return rows.select("h", "i", "batch").join(often, ["h", "i"]).select("h", "batch")
+    return materialize(rows.select("h", "i", "batch").join(often, ["h", "i"]).select("batch", "h", "i").distinct(), "confirmed")
+
+
+def phrases(batched: DataFrame, seed_path: str, window_path: str, window: int = WINDOW) -> DataFrame:
+    """(h, i, phrase): windows that cover the recurring passages of all documents, each window once."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, batch, known, marks, seen = Words(), None, None, None, set()
+        for n, own in by_batch(parts):
+            if n != batch:
+                batch, known, marks, seen = n, own_hashes(seed_path, n), own_hashes(window_path, n), set()
+            x = Slice(own.column(0).to_pylist(), hashes, window)
+            if not len(marks) or not len(x.h) or not (some := among(seeds(x.h, window)[0], known) & x.whole).any():
+                continue
+            h, i = window_hashes(x.h, window)
+            starts = np.flatnonzero(some)
+            starts = starts[among(h[starts] ^ (i[starts] << np.uint64(20)), marks)]
+            # A window over two documents is not whole, so runs end with their document.
+            starts = np.array([s for s in covering(starts, window).tolist() if (int(h[s]), int(i[s])) not in seen], np.int64)
+            if not len(starts):
+                continue
+            seen |= {(int(h[s]), int(i[s])) for s in starts}
+            if len(seen) > BUFFER // 4:
+                seen = set()
+            first = np.cumsum(x.sizes) - x.sizes
+            owner = np.searchsorted(first, starts, "right") - 1
+            text = [b" ".join(x.split[d][s - first[d] : s - first[d] + window]) for d, s in zip(owner.tolist(), starts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(i[starts].astype(np.int32)), pa.array(text, pa.binary())], ["h", "i", "phrase"])
+
+    found = mapped(batched.select("text", "batch"), run, "h long, i int, phrase binary")
+    return found.groupBy("h", "i").agg(F.min("phrase").alias("phrase"))
 
 
 def covering(starts: np.ndarray, window: int) -> np.ndarray:
@@ -203,68 +252,66 @@ def covering(starts: np.ndarray, window: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def locate(shard: list[tuple[np.ndarray, np.ndarray]], window: int) -> list[np.ndarray]:
-    """For documents (word numbers, starts of confirmed windows): which words an occurrence of one of the shard's phrases covers."""
+def locate(found: list[bytes], texts: list[str | None], window: int, shard: int = SHARD_PHRASES) -> list[np.ndarray | None]:
+    """Which words of each text an occurrence of one of the phrases covers; None where none does."""
     import ahocorasick
 
-    phrases = {tuple(ids[s : s + window].tolist()) for ids, starts in shard for s in covering(starts, window)}
-    masks = [np.zeros(len(ids) + 1, np.int32) for ids, _ in shard]
-    if phrases:
+    covers: list[np.ndarray | None] = [None] * len(texts)
+    for j in range(0, len(found), shard):
+        numbers: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for p in phrases:
-            automaton.add_word(p, 1)
+        for p in found[j : j + shard]:
+            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in p.split()]), 1)
         automaton.make_automaton()
-        for (ids, _), m in zip(shard, masks, strict=True):
-            if len(ids) >= window:
-                ends = np.fromiter((e for e, _ in automaton.iter(tuple(ids.tolist()))), np.int64)
-                np.add.at(m, ends - (window - 1), 1)
-                np.add.at(m, ends + 1, -1)
-    return [np.cumsum(m[:-1]) > 0 for m in masks]
-
-
-def remove(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
+        for k, t in enumerate(texts):
+            # Words that are in no phrase are 0.
+            codes = tuple(map(numbers.get, words_of(t), itertools.repeat(0)))
+            if ends := [e for e, _ in automaton.iter(codes)] if len(codes) >= window else []:
+                if covers[k] is None:
+                    covers[k] = np.zeros(len(codes) + 1, np.int32)
+                at = np.array(ends, np.int64)
+                np.add.at(covers[k], at - (window - 1), 1)
+                np.add.at(covers[k], at + 1, -1)
+    return [None if m is None else np.cumsum(m[:-1]) > 0 for m in covers]
+
+
+def remove(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS, shard: int = SHARD_PHRASES, keep_text: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
     batched = batches_of(docs)
     seed_path = packed(recurring_seeds(batched, window), "recurring-seeds")
-    window_path = packed(confirmed_windows(batched, seed_path, window), "confirmed-windows")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, batch, known, marks = Words(), None, None, None
-        shard: list = []
-        held = 0
-
-        def give() -> pd.DataFrame:
-            # A document without a confirmed window has no occurrence of a phrase; the others stream through the automaton.
-            numbers: dict[bytes, int] = {}
-            coded = [(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in ws), np.int64, len(ws)), starts) for _, ws, starts in shard if len(starts)]
-            masks, out = iter(locate(coded, window)), []
-            for doc, ws, starts in shard:
-                gone = next(masks) if len(starts) else None
-                left = ws if gone is None else list(itertools.compress(ws, (~gone).tolist()))
-                text = b" ".join(left)
-                out.append((doc, len(ws), len(ws) - len(left), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if keep_text else None))
-            df = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
-            return df.astype({"doc_id": "Int64"})
-
-        for b in parts:
-            for n, own in b.groupby("batch", sort=False):
-                if n != batch:
-                    batch, known, marks = n, own_hashes(seed_path, int(n)), own_hashes(window_path, int(n))
-                ids = own["doc_id"].astype("Int64")
-                for doc, t in zip(ids, own["text"], strict=True):
-                    ws, starts = words_of(t), np.empty(0, np.int64)
-                    if len(ws) >= window and len(marks):
-                        x = hashes.of(ws)
-                        if (some := among(seeds(x, window)[0], known)).any():
-                            at = np.flatnonzero(some)
-                            starts = at[among(rolling(x, window, A)[at], marks)]
-                    shard.append((doc, ws, starts))
-                    held += len(ws)
-                    if held > shard_words:
-                        yield give()
-                        shard, held = [], 0
-        if shard:
-            yield give()
+    confirmed = confirmed_windows(batched, seed_path, window)
+    window_path = packed(confirmed.select("batch", F.col("h").bitwiseXOR(F.shiftleft(F.col("i").cast("long"), 20)).alias("v")), "confirmed-windows")
+    found = phrases(batched, seed_path, window_path, window)
+    phrase_path = packed(confirmed.join(found, ["h", "i"]).select("batch", F.col("phrase").alias("v")), "phrases")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, found, held, size = None, [], [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            texts = list(itertools.chain.from_iterable(t.to_pylist() for _, t in held))
+            masks = iter(zip(texts, locate(found, texts, window, shard), strict=True))
+            for ids, _ in held:
+                out = []
+                for t, gone in itertools.islice(masks, len(ids)):
+                    ws = words_of(t)
+                    left = ws if gone is None else list(itertools.compress(ws, (~gone).tolist()))
+                    text = b" ".join(left)
+                    out.append((len(ws), len(ws) - len(left), hashlib.sha256(text).hexdigest(), text if keep_text else None))
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                made = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, *made], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+
+        for n, own in by_batch(parts):
+            if held and (n != batch or size > chunk_words):
+                yield from give()
+                held, size = [], 0
+            if n != batch:
+                batch, found = n, own_rows(phrase_path, n)
+                found = found.to_pylist() if len(found) else []
+            held.append((own.column(0), own.column(1)))
+            size += own.column(1).nbytes // 6
+        if held:
+            yield from give()
 
-    out = batched.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
-    return out if keep_text else out.drop("text")
+    out = mapped(batched, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
+    return out.withColumn("text", F.col("text").cast("string")) if keep_text else out.drop("text")
