@@ -7,12 +7,17 @@ A data set is a folder with, for each shard N in ascending document order,
 Shards hold ranges of doc_id; a shard's base in the whole corpus is the prefix sum of the token counts before it. Files get their
 names by rename once they are complete, so a task that runs again replaces them with the same bytes.
 
+The tokenizers library does the encoding. Where a tokenizer's own description shows the normalizer, pre-tokenizer and kind of model whose
+rules are stated below, words are parted by these and each distinct one is given to the model once; with any other description whole texts go
+through the tokenizer.
+
 Defined cases: a null text is empty and gives the end id alone; null ids come first; rows with equal ids follow by text; an empty table
-gives no rows. Other columns are ignored.
+gives no rows; a text of any length is encoded whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -20,16 +25,24 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import columns, new_path
+from tessera.llm.shared import columns, mapped, new_path
 
 END_ID = 1
-CACHE_WORDS = 600_000
-BATCH_CHARS = 1_600_000
+#: Characters (and 150 for each word) that an encoder keeps, and that it gets at a time.
+CACHE_CHARS = 40_000_000
+BATCH_CHARS = 1_000_000
+
+# What a tokenizer file says of itself if the rules below hold.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 #: Words whose pieces cannot be told apart here: with anything but printable ASCII, less the apostrophe, and Latin letters.
 ODD = re.compile(r"^(?:.*[^!-&(-~\xC0-\xD6\xD8-\xF6\xF8-\xFF\n].*|.*<\|.*)$", re.M)
@@ -52,10 +65,19 @@ class Encoder(dict):
     new words once. Plain words are lower-cased and cut into pieces here and go to the tokenizer's own model in bulk; any other word goes
     through the whole tokenizer."""
 
+    size = 0
+
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.dtype = Tokenizer.from_file(path), dtype
+        said = json.loads(self.whole.to_str())
+        about = {k: v for k, v in said["model"].items() if k not in ("vocab", "merges")}
+        special = [t["content"] for t in said["added_tokens"]]
+        self.known = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLITTER, BYTES]} and about == MODEL
+        self.known = self.known and all(t.startswith("<|") for t in special) and not any(t["lstrip"] or t["rstrip"] for t in said["added_tokens"])
+        if not self.known:
+            return
         self.letters = {b: c for b, c in byte_letters().items() if b not in (10, 32)}
         self.pieces = Tokenizer(self.whole.model)
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -81,10 +103,16 @@ class Encoder(dict):
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; a null text is empty."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
+        if not self.known:
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         split = [(re.split(r"[ \n\t\r]+", t.strip(" \n\t\r")) if any(c in t for c in SEPARATORS) else t.split()) if t else [] for t in texts]
-        self.learn(list(set().union(*split).difference(self)))
+        new = list(set().union(*split).difference(self))
+        self.size += sum(map(len, new)) + 150 * len(new)
+        if self.size > CACHE_CHARS:
+            self.clear()
+            new = list(set().union(*split))
+            self.size = sum(map(len, new)) + 150 * len(new)
+        self.learn(new)
         return [b"".join(map(self.__getitem__, ws)) for ws in split]
 
 
@@ -105,14 +133,19 @@ def target(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), re.sub("^file:", "", uri))
 
 
+def renamed(fs: pafs.FileSystem, part: str, name: str) -> None:
+    """Renames part to name, also where that does not replace a file that an earlier attempt left."""
+    if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(name).type != pafs.FileType.NotFound:
+        fs.delete_file(name)
+    fs.move(part, name)
+
+
 def publish(fs: pafs.FileSystem, name: str, write) -> None:
     """Runs write(stream) into a new file and renames that to name."""
     part = f"{name}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(part) as out:
         write(out)
-    if fs.get_file_info(name).type != pafs.FileType.NotFound and not isinstance(fs, pafs.LocalFileSystem):
-        fs.delete_file(name)
-    fs.move(part, name)
+    renamed(fs, part, name)
 
 
 def width_for(tokenizer: str) -> int:
@@ -126,22 +159,22 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, widt
     """Writes the files; (shard, documents, tokens) of each, in order. The text is shuffled once, by ranges of doc_id."""
     dtype = f"<u{width // 8}"
 
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fs, base, n, at = None, None, None, 0, 0
         ids, nulls, ends, stream, part = [], [], [], None, ""
         end = np.array([end_id], dtype=dtype).tobytes()
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
             if stream is None:
-                encode, n = Encoder(tokenizer, dtype), int(b["shard"].iloc[0])
+                encode, n = Encoder(tokenizer, dtype), b.column(2)[0].as_py()
                 fs, base = target(folder)
                 fs.create_dir(base, recursive=True)
                 part = f"{base}/tokens-{n:06d}.bin.{uuid.uuid4().hex}.part"
                 stream = fs.open_output_stream(part)
-            nulls.append(b["doc_id"].isna().to_numpy().astype(np.uint8))
-            ids.append(b["doc_id"].fillna(0).astype("int64").to_numpy())
-            for texts in parts_of(b["text"].tolist()):
+            nulls.append(np.asarray(b.column(0).is_null()).astype(np.uint8))
+            ids.append(np.asarray(pc.fill_null(b.column(0), 0)))
+            for texts in parts_of(b.column(1).to_pylist()):
                 coded = [v + end for v in encode.texts(texts)]
                 stream.write(b"".join(coded))
                 for v in coded:
@@ -151,16 +184,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int, widt
             return
         stream.close()
         name = lambda kind: f"{base}/{kind}-{n:06d}.bin"
-        fs.move(part, name("tokens"))
+        renamed(fs, part, name("tokens"))
         publish(fs, name("offsets"), lambda o: o.write(np.array([0, *ends], "<i8").tobytes()))
         publish(fs, name("ids"), lambda o: o.write(np.concatenate(ids).astype("<i8").tobytes()))
         publish(fs, name("nulls"), lambda o: o.write(np.concatenate(nulls).tobytes()))
-        yield pd.DataFrame({"shard": [n], "docs": [len(ends)], "tokens": [at]})
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([len(ends)], pa.int64()), pa.array([at], pa.int64())], ["shard", "docs", "tokens"])
 
     rows = columns(docs, ["doc_id", "text"], ["long", "string"])
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.md5(F.col("text").cast("binary")))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("shard", F.spark_partition_id())
-    done = dealt.mapInPandas(shard, "shard int, docs long, tokens long").collect()  # a row a shard
+    done = mapped(dealt, shard, "shard int, docs long, tokens long").collect()  # a row a shard
     return sorted((r.shard, r.docs, r.tokens) for r in done)
 
 
@@ -180,20 +213,20 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int,
     shards = [(int(n), int(base)) for (n, _, _), base in zip(manifest, bases, strict=True)]
     dtype = f"<u{width // 8}"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n, base in zip(b["shard"], b["base"], strict=True):
+            for n, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tokens, offsets, ids, nulls = (map_file(f"{folder}/{k}-{n:06d}.bin", t) for k, t in (("tokens", dtype), ("offsets", "<i8"), ("ids", "<i8"), ("nulls", "u1")))
                 for i in range(0, len(ids), 20_000):
-                    at = offsets[i : i + 20_001]
+                    at = np.array(offsets[i : i + 20_001])
                     crc = [zlib.crc32(tokens[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
-                    some = pd.Series(np.array(ids[i : i + 20_000]), dtype="Int64").mask(np.array(nulls[i : i + 20_000]) == 1)
-                    yield pd.DataFrame({"doc_id": some, "start": base + at[:-1], "n_tokens": np.diff(at), "ids_crc32": crc})
+                    some = pa.array(np.array(ids[i : i + 20_000]), mask=np.array(nulls[i : i + 20_000]) == 1)
+                    yield pa.RecordBatch.from_arrays([some, pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     if not shards:
         return spark.createDataFrame([], schema)
     parts = max(1, min(len(shards), 100_000))
-    return spark.createDataFrame(shards, "shard int, base long").repartition(parts, "shard").mapInPandas(read, schema)
+    return mapped(spark.createDataFrame(shards, "shard int, base long").repartition(parts, "shard"), read, schema)
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, folder: str | None = None, shards: int | None = None, width: int | None = None) -> DataFrame:
