@@ -9,7 +9,8 @@ is in, or its container. In a region, everything between the first and the last
 article, or of the lines that stand in main itself, everything is, and so is an article between the content lines of a chosen region.
 
 Defined cases: a null or empty html, or one without content lines, gives the empty string; unclosed and stray tags are closed as by their
-ancestors; rows repeat as they are; a null page_id or url stays. Other columns are ignored.
+ancestors; rows repeat as they are; a null page_id or url stays; a page of any length is read whole; where all smoothed ratios are equal every
+line is content, and a ratio that equals the threshold is below it; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import columns
+from tessera.llm.shared import columns, mapped
 
 #: Fixed values of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -32,19 +33,29 @@ HOLDS = {"article", "main", "section", "div", "td", "body"}
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 LIMITS = {"table", "ul", "ol", "dl", "div", "article", "main", "section", "aside", "nav", "body", "select", "blockquote", "td"}
-#: Words of class, id and role that mark what is not the article.
-SAYS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|sidebar|side|rail|widget\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|"
-    r"toolbar|masthead|site-?header|page-?header|footer\w*|copyright|legal|comments?|commentlist|respond|replies|reply|disqus\w*|discussion|share|sharing|social|related|recommended|recirc|teaser\w*|"
-    r"newsletter|subscribe|signup|login|search|skip|hidden|complementary|contentinfo|navigation|dialog|form)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of class, id and role that mark what is not the article, and words that say nothing beside them. A name is one of the former, or is
+#: made of both, parted by - and _; with any other word it says nothing, as in related-work or side-by-side.
+SAYS = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "sidebar rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar masthead header footer copyright legal comment comments commentlist "
+    "respond replies reply disqus discussion share sharing social related recommended recirc teaser teasers newsletter subscribe signup login search skip hidden complementary contentinfo dialog form".split()
+)
+BESIDE = set(
+    "site page main global top bottom left right upper lower primary secondary side user users reader readers visitor post posts article articles story content links link list item items box block area section "
+    "wrapper wrap container inner outer bar button buttons icon icons slot unit text title thread policy message warning panel group row col column sticky fixed mobile desktop js id the a".split()
 )
-#: Such words name the layout of what they wrap.
-LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|no|without|is)[_-]", re.I)
 SIGMA = 1.0
 SPACES = re.compile(r"\s+")
 
 
+def marks(name: str) -> bool:
+    """Whether a class, id or role says that its element is not part of the article."""
+    words = [w for w in re.split(r"[-_]+|\d+", name) if w]
+    said = [w for w in words if w in SAYS]
+    # The header of an article or of a section of it is its own; site-header is not.
+    return bool(said) and all(w in SAYS or w in BESIDE for w in words) and (set(said) != {"header"} or bool({"site", "page", "global", "main", "top"} & set(words)))
+
+
 class Lines(HTMLParser):
     """lines: [text parts, tags, region, never, whether the region is content as a whole]."""
 
@@ -97,7 +108,7 @@ class Lines(HTMLParser):
     @staticmethod
     def said(attrs: list[tuple[str, str | None]]) -> bool:
         for k, v in attrs:
-            if k in ("class", "id", "role") and v and any(SAYS.search(word) and not LAYOUT.search(word) for word in v.split()):
+            if k in ("class", "id", "role") and v and any(marks(name) for name in v.lower().split()):
                 return True
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
                 return True
@@ -130,7 +141,8 @@ class Lines(HTMLParser):
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """A Gaussian over neighbouring lines; ends weigh what they have."""
     k = np.exp(-0.5 * (np.arange(-3, 4) / sigma) ** 2)
-    return np.convolve(x, k, "same")[: len(x)] / np.convolve(np.ones(len(x)), k, "same")[: len(x)] if len(x) >= len(k) else x
+    part = slice(3, 3 + len(x))
+    return np.convolve(x, k, "full")[part] / np.convolve(np.ones(len(x)), k, "full")[part]
 
 
 def threshold(x: np.ndarray) -> float:
@@ -176,9 +188,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each row of pages: page_id, url, text, n_chars."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(h) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": text, "n_chars": list(map(len, text))})
+            text = [main_text(h) for h in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return columns(pages, ["page_id", "url", "html"], ["long", "string", "string"]).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return mapped(columns(pages, ["page_id", "url", "html"], ["long", "string", "string"]), run, "page_id long, url string, text string, n_chars long")
