@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
-from test_operators import SCHEMA, brute_components, brute_decontaminate, brute_targets
+from test_llm_operators import SCHEMA, brute_components, brute_decontaminate, brute_targets
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
