@@ -9,10 +9,13 @@ shards theirs: the highest quotients votes / (2 k + 1). Only quotients between t
 bound the result, are ranked: fewer than two a party. A shard holds documents in a seeded order on a line of words; its quota is whole
 passes over the line and then a run of blocks from a seeded block on, around the end. A document's share is arithmetic on its prefix sum.
 
-A source is cut into shards of about `shard_words` words by a seeded hash of the document, so a hot source is many groups.
+A source is cut into shards by a seeded hash of the document, so a hot source is many groups: of about `shard_words` words, or a SHARDS-th of
+the source if that is more, so that ranking a source's shards stays small. A block has `block` words, or fewer where all targets together have
+less than BLOCKS blocks of that.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times; a null source is a source of its own; rows of equal id and text may
-differ in what is taken, and reruns give the same rows; without words all targets are 0. Other columns are ignored.
+differ in what is taken, and reruns give the same rows; ties between quotients go to the source or shard that sorts first; without words all
+targets are 0; an empty table gives no rows; a text of any length is counted whole and may be taken in part. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SPACE, columns, materialize, row_key, small
+from tessera.llm.shared import SPACE, columns, free, materialize, row_key, same_columns, small
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 64
 SHARD_WORDS = 1 << 20
+SHARDS, BLOCKS = 4_096, 4_096
 SEED = 20_240_517
 
 
@@ -39,19 +43,18 @@ def mix_key(source: str = "source") -> Column:
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole time that a document is taken, and one with its first words, joined by
     a space, for a part of it. Rows of equal id, text and source are taken as one document as often as all of them."""
-    names = docs.columns
-    shares = mix(docs, **settings).groupBy("key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    shares = materialize(shares, "shares")
-    rows = docs.withColumn("_key", mix_key()).dropDuplicates(["_key"]).join(shares.withColumnRenamed("key", "_key"), "_key")
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    key, taken, size, words = free(docs, "key", "taken", "size", "words")
+    shares = mix(docs, **settings).groupBy(F.col("key").alias(key)).agg(F.sum("taken").alias(taken), F.max("size").alias(size)).where(F.col(taken) > 0)
+    rows = docs.withColumn(key, mix_key()).dropDuplicates([key]).join(materialize(shares, "shares"), key)
+    whole, part = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
     counts = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_words", F.explode(counts))
-    first = F.concat_ws(" ", F.slice(F.array_remove(F.split("text", f"[{SPACE}]+", -1), ""), 1, F.col("_words")))
-    rows = rows.withColumn("text", F.when(F.col("_words") == 0, F.col("text")).otherwise(first))
-    if "n_chars" in names:
+    rows = rows.withColumn(words, F.explode(counts))
+    first = F.concat_ws(" ", F.slice(F.array_remove(F.split("text", f"[{SPACE}]+", -1), ""), 1, F.col(words)))
+    rows = rows.withColumn("text", F.when(F.col(words) == 0, F.col("text")).otherwise(first))
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rows.select(*(F.col(f"`{n}`") for n in names))
+        rows = rows.withColumn("n_chars", F.when(F.col(words) == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return same_columns(rows, docs.columns)
 
 
 def targets(sizes: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -90,9 +93,11 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
     rows = docs.select(mix_key().alias("key"), "doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     rows = materialize(rows, "sizes")
     shared = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
-    quotas = apportion(shared.withColumn("blocks", blocks), "target", "blocks", "quota", [], ["source"])
-    quotas = quotas.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")).drop("blocks")
+    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
+    shared = shared.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(total / BLOCKS))).cast("long"))
+    quotas = apportion(shared.withColumn("blocks", F.round(total / F.col("block")).cast("long")), "target", "blocks", "quota", [], ["source"])
+    per_shard = F.greatest(F.lit(shard_words), F.col("source_size") / SHARDS)
+    quotas = quotas.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("long")).drop("blocks")
     quotas = materialize(quotas, "quotas")
 
     q = small(quotas.withColumnRenamed("source", "_source"))
@@ -105,11 +110,11 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
     line = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
     end = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
     dealt = dealt.withColumn("a", end - F.col("size"))
-    words = F.least(F.col("own") * block, 2 * F.col("line"))
+    words = F.least(F.col("own") * F.col("block"), 2 * F.col("line"))
     passes = F.when(F.col("line") > 0, F.floor(words / F.col("line"))).otherwise(0).cast("long")
     dealt = dealt.withColumns({"passes": passes, "rest": words - passes * F.col("line")})
-    cells = F.greatest(F.lit(1), F.ceil(F.col("line") / block)).cast("long")
-    start = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), cells) * block
+    cells = F.greatest(F.lit(1), F.ceil(F.col("line") / F.col("block"))).cast("long")
+    start = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), cells) * F.col("block")
     dealt = dealt.withColumn("o", start)
     overlap = lambda lo, hi: F.greatest(F.lit(0).cast("long"), F.least(F.col("a") + F.col("size"), hi) - F.greatest(F.col("a"), lo))
     stop = F.col("o") + F.col("rest")

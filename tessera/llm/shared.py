@@ -91,3 +91,19 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def columns(df: DataFrame, names: list[str], types: list[str]) -> DataFrame:
     """Only the named columns, cast; what else df has, under whatever names, plays no part."""
     return df.select(*(F.col(f"`{n}`").cast(t).alias(n) for n, t in zip(names, types, strict=True)))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes that no column of df has them, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def same_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, whatever characters their names have."""
+    return df.select(*(F.col(f"`{n.replace('`', '``')}`") for n in names))
