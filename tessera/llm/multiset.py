@@ -9,11 +9,15 @@ its vector. The vector has two sections:
 A fingerprint is the lanes in hexadecimal, 8 digits each. Equal texts have equal fingerprints.
 
 Defined cases: a null text is empty, its lanes all 0; two empty fingerprints are alike (1), an empty one and another are not (0); repeated
-paragraphs count as often as they occur. Other columns are ignored.
+paragraphs count as often as they occur; null ids come first, rows with equal ids follow by the MD5 of their text, and rows that repeat in
+full follow each other; the only row is its own next; an empty table gives no rows; a text of any length is hashed whole. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +79,26 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def buckets(docs: DataFrame) -> Column:
-    """A struct that ascends with doc_id, nulls first: the quantile a row is in and, in large tables, an even part of that.
+    """A struct that ascends with doc_id, nulls first, and the MD5 of the text: the quantile a row is in, in large tables an even part of that,
+    and for ids that have many rows (and for null) a part by the MD5.
 
     A bucket holds about BUCKET_ROWS rows where ids lie evenly within a quantile. Reads doc_id alone."""
-    low = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 10 * COARSE).alias("q")).first()
-    cuts = sorted(set(low.q or [0]))
-    cuts = cuts[:: max(1, COARSE * BUCKET_ROWS // max(1, low.n))]
+    low = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 10 * COARSE).alias("q")).first()
+    found = low.q or [0]
+    often = {e: -(-k * low.known // (COARSE * BUCKET_ROWS)) for e, k in Counter(found).items() if k > 1 and k * low.known > COARSE * BUCKET_ROWS}
+    cuts = sorted(set(found))
+    cuts = sorted({*cuts[:: max(1, COARSE * BUCKET_ROWS // max(1, low.n))], *often})
     fine = max(1, -(-low.n // (len(cuts) * BUCKET_ROWS)))
-    edges = F.lit(cuts)
+    edges, parts = F.lit(cuts), F.lit([often.get(e, 1) for e in cuts])
     coarse = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))) - 1, F.lit(-1))
     lo, hi = F.get(edges, F.greatest(coarse, F.lit(0))), F.get(edges, coarse + 1)
-    part = F.floor((F.col("doc_id") - lo).cast("double") / F.greatest(F.lit(1), F.coalesce(hi, lo + 1) - lo) * fine)
-    step = F.when(coarse < 0, 0).otherwise(F.least(F.lit(fine - 1).cast("long"), part))
-    return F.struct(coarse.alias("coarse"), F.coalesce(step.cast("long"), F.lit(0).cast("long")).alias("fine"))
+    place = F.floor((F.col("doc_id") - lo).cast("double") / F.greatest(F.lit(1), F.coalesce(hi, lo + 1) - lo) * fine)
+    step = F.when(coarse < 0, 0).otherwise(F.least(F.lit(fine - 1).cast("long"), place))
+    nulls = max(1, -(-(low.n - low.known) // BUCKET_ROWS))
+    split = F.when(F.col("doc_id").isNull(), F.lit(nulls)).when(F.col("doc_id") == lo, F.get(parts, F.greatest(coarse, F.lit(0)))).otherwise(F.lit(1)).cast("long")
+    part = F.shiftright(F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long") * split, 32)
+    above = F.coalesce((F.col("doc_id") > lo).cast("int"), F.lit(0))
+    return F.struct(coarse.alias("coarse"), F.coalesce(step.cast("long"), F.lit(0).cast("long")).alias("fine"), above.alias("above"), part.alias("part"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -99,14 +110,19 @@ def compared(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("bucket", buckets(docs))
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("md5"))
     heads = materialize(docs.select("bucket", place.alias("place")).groupBy("bucket").agg(F.min("place").alias("place")), "heads")
-    order = materialize(heads.select("bucket", "place", F.row_number().over(Window.orderBy("bucket")).alias("n"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("all")), "order")
-    before = order.select(F.col("bucket").alias("tail"), (F.col("n") % F.col("all") + 1).alias("n")).join(order.select("n", "place"), "n").select("tail", "place")
+    # The next head is found within a quantile; after a quantile's last bucket comes the head of the next one, of at most COARSE + 2.
+    firsts = heads.groupBy("bucket.coarse").agg(F.min(F.struct("bucket", "place")).alias("f")).select("coarse", F.col("f.place").alias("place"))
+    round_ = F.coalesce(F.lead("place").over(Window.orderBy("coarse")), F.first("place").over(Window.orderBy("coarse")))
+    firsts = materialize(firsts.select("coarse", round_.alias("after")), "firsts")
+    within = F.lead("place").over(Window.partitionBy("bucket.coarse").orderBy("bucket"))
+    before = heads.select(F.col("bucket").alias("tail"), within.alias("place")).join(F.broadcast(firsts), F.col("tail.coarse") == F.col("coarse"))
+    before = before.select("tail", F.coalesce("place", "after").alias("place"))
     tails = docs.select("text", place.alias("place")).join(small(materialize(before, "before")), "place").groupBy("tail").agg(F.max("text").alias("text"))
     tails = materialize(with_fingerprint(tails, "text", "lanes").select(F.col("tail").alias("bucket"), F.struct("text", "lanes").alias("head")), "tails")
 
     by = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), F.md5(F.col("text").cast("binary")))
     rows = with_fingerprint(docs.repartition("bucket"), "text", "lanes")
-    rows = rows.withColumn("next", F.lead(F.struct("text", "lanes")).over(by)).join(small(tails, 2_000), "bucket", "left")
+    rows = rows.withColumn("next", F.lead(F.struct("text", "lanes")).over(by)).join(small(tails), "bucket", "left")
     rows = rows.withColumns({"next": F.coalesce("next", "head"), "n_chars": F.length("text").cast("long")})
     rows = rows.withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(next.text, 1, cut)"))

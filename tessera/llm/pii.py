@@ -12,7 +12,7 @@ and words about such data within CONTEXT code points add 0.4, words about orders
 score as well, which `spans_of` reports but which does not drop them.
 
 Defined cases: a null text is empty and has no spans; rows of equal id and text get equal results, one row each; a null doc_id stays a
-row. Other columns are ignored.
+row; spans of different kinds may overlap; an empty table gives no rows; a text of any length is scanned whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     docs = columns(docs, ["doc_id", "text"], ["long", "string"])
     spans = spans_of(docs).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("rank", "start", "end", "kind", "base"))).alias("s"))
     spans = materialize(spans, "spans")
-    out = docs.select(row_key().alias("key"), "doc_id").join(small(spans, 50_000), "key", "left")
+    out = docs.select(row_key().alias("key"), "doc_id").join(small(spans), "key", "left")
     s = F.coalesce("s", F.array().cast("array<struct<rank:int,start:bigint,end:bigint,kind:string,base:boolean>>"))
     out = out.select("doc_id", s.alias("s"))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
