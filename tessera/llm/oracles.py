@@ -5,7 +5,7 @@ TOKENS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SPACED = r"'[^\x20\x09-\x0D]+'"
 
 
-def decontamination(documents: str = "documents", window: int = 13) -> str:
+def decontamination(documents: str = "documents", window: int = 13, slop: int = 8) -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, w FROM (SELECT doc_id, {TOKENS} AS w FROM {documents})),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {TOKENS} AS w FROM benchmark),
@@ -17,10 +17,15 @@ g AS (
   FROM (SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
 m AS (SELECT DISTINCT r, i, g.n, item_id FROM g JOIN p USING (n, s)),
 h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS x FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
-k AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+k AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r),
+t AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+c AS (SELECT t, count(*) AS n FROM t GROUP BY t),
+y AS (SELECT item_id, t, n, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), t) AS rank FROM (SELECT DISTINCT item_id, unnest(w) AS t FROM b) LEFT JOIN c USING (t)),
+z AS (SELECT a.item_id, a.t AS one, b.t AS two FROM y a JOIN y b ON a.item_id = b.item_id AND a.rank = 1 AND b.rank = 2 AND a.n > 0 AND b.n > 0),
+v AS (SELECT a.r, count(DISTINCT item_id) AS n_near FROM z JOIN t a ON a.t = one JOIN t b ON b.t = two AND b.r = a.r AND abs(a.p - b.p) <= {slop} GROUP BY a.r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r) LEFT JOIN v USING (r)
 """
 
 

@@ -67,7 +67,7 @@ def test_decontamination(spark):
     docs = [(1, "x y " + item.upper() + " z"), (2, " ".join(words(13, 1))), (3, None), (4, ""), (5, "the Ünï cat"), (5, "the Ünï cat"), (None, item), (6, "ünï"), (7, " ".join(words(500, 3, 3))), (8, "...!"), (9, item + " and more " * 300)]
     items = [(10, item), (2, item), (3, "Ünï cat"), (4, None), (5, ""), (6, " ".join(words(13, 3, 3)))]
     got = decontaminate.digest(decontaminate.decontaminate(texts(spark, docs), spark.createDataFrame(items, "item_id long, text string"))).collect()
-    assert sorted(map(tuple, got), key=str) == brute_decontaminate(docs, items)
+    assert sorted((tuple(r)[:6] for r in got), key=str) == brute_decontaminate(docs, items)
 
 
 def test_decontamination_of_nothing(spark):
