@@ -10,8 +10,8 @@ Documents with equal sets are one class, named by the set's 128-bit hash. Each b
 buckets with others (in a family of near copies, the least edited one); classes are paired with the centers of their buckets, and pairs that
 hold join components. Buckets with classes in different components go through rounds, in which full sets are compared with the center's. Two
 classes of a center's star have in common at most what the center shares with the one that has less of it, and what the two share beside the
-center. So the sizes of a pair and of what its classes have of the center say how many shingles beside the center it `needs` to link. Pairs
-that need none are compared; others are found by an index of the shingles beside the center, whose lists of at most LISTED classes give
+center. So the sizes of a pair and of what its classes have of the center (above 400 rounded to a quarter of a percent, so that the need is
+never overstated) say how many shingles beside the center it `needs` to link. Pairs that need none are compared; others are found by an index of the shingles beside the center, whose lists of at most LISTED classes give
 pairs. A class outside the center's component with fewer shingles in longer lists than any pair needs has then met all that it can link with
 in the bucket, and leaves it. What stays, if still in different components, gets its next centers, twice as many as before, until no bucket
 is left. No link between classes that share a bucket is lost, and classes of one component are not paired with each other.
@@ -220,14 +220,16 @@ def beside_center(diffs: DataFrame, labels: DataFrame, similar: int) -> tuple[Da
     rows = materialize(rows.withColumnRenamed("rep_label", "label"), "star")
     need = lambda n, m, i, j: F.ceil(similar * (n + m) / (100 + similar)) - F.least(i, j)
 
-    lone = rows.where("label <> center_label")
-    kinds = rows.groupBy("center", "n_low", "i_high").agg(F.count(F.lit(1)).alias("members")).select("center", F.col("n_low").alias("m"), F.col("i_high").alias("j"))
-    met = lone.join(kinds, "center").where((100 * F.col("m") >= similar * (F.col("n") - 2 * step("n"))) & (100 * F.col("n") >= similar * F.col("m")))
-    met = met.withColumn("need", need(F.col("n"), F.col("m"), F.col("i"), F.col("j")))
-    done = lone.join(met.where("need > 0").groupBy("center", "rep").agg(F.min("need").alias("need")), ["center", "rep"], "left").where("need is null or long < need").select("center", "rep")
-    other = rows.select("center", F.col("n_low").alias("m"), F.col("i_high").alias("j"), F.col("rep").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
-    free = met.where("need <= 0").join(other, ["center", "m", "j"]).where((F.col("label") != F.col("b_label")) & (need(F.col("n"), F.col("n_b"), F.col("i"), F.col("i_b")) <= 0))
-    free = free.select(F.col("rep").alias("a"), "b")
+    # Kinds of classes, by rounded sizes, tell which pairs need none: there are few of them, however many classes are alike.
+    lone, alike = rows.where("label <> center_label"), ["center", "n_low", "i_high"]
+    kinds = materialize(rows.groupBy(*alike).agg(F.max((F.col("label") != F.col("center_label")).cast("int")).alias("lone")), "kinds")
+    met = kinds.where("lone = 1").drop("lone").join(kinds.select("center", F.col("n_low").alias("m"), F.col("i_high").alias("j")), "center")
+    fit = lambda n, m: 100 * F.col(m) >= similar * (F.col(n) - 2 * step(n))
+    met = met.where(fit("n_low", "m") & fit("m", "n_low")).withColumn("need", need(F.col("n_low"), F.col("m"), F.col("i_high"), F.col("j")))
+    met = materialize(met, "met")
+    done = lone.join(met.where("need > 0").groupBy(*alike).agg(F.min("need").alias("need")), alike, "left").where("need is null or long < need").select("center", "rep")
+    other = rows.select("center", F.col("n_low").alias("m"), F.col("i_high").alias("j"), F.col("rep").alias("b"), F.col("label").alias("b_label"))
+    free = lone.join(met.where("need <= 0").drop("need"), alike).join(other, ["center", "m", "j"]).where("label <> b_label").select(F.col("rep").alias("a"), "b")
 
     near = posted.where(F.col("n") <= LISTED).select("center", "x", "rep")
     one = near.join(lone.select("center", "rep", "n", "i", "long", "label"), ["center", "rep"])
