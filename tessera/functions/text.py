@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,16 +26,35 @@ ENDPOINTS = [
     ("QoL", ["quality of life", "qol"], []),
     ("Biomarker", ["biomarker"], []),
 ]
-PSEUDO_MISSING = r"(?i)^(?:n/?a|nan|null|none|missing|not available|not applicable|not reported|not specified|unknown|-|\.|--|blank)$"
+PSEUDO_MISSING = r"(?i)^(?:n/?a|nan|null|none|missing|not\s*(?:available|applicable|reported|specified)|unknown|-|\.|--)$"
 PLACEBO_LIKE = ["placebo", "sham", "vehicle", "saline", "dummy"]
 REGIONS = {
-    "NA": ["united states", "canada", "mexico"],
-    "WEU": ["austria", "belgium", "denmark", "finland", "france", "germany", "greece", "iceland", "ireland", "italy", "luxembourg", "netherlands", "norway", "portugal", "spain", "sweden", "switzerland", "united kingdom"],
-    "EEU": ["belarus", "bulgaria", "croatia", "czechia", "estonia", "hungary", "latvia", "lithuania", "poland", "romania", "russia", "serbia", "slovakia", "slovenia", "ukraine"],
-    "AF": ["algeria", "egypt", "ethiopia", "ghana", "kenya", "morocco", "nigeria", "south africa", "tunisia", "uganda"],
-    "AP": ["australia", "china", "hong kong", "india", "indonesia", "japan", "malaysia", "new zealand", "philippines", "singapore", "south korea", "taiwan", "thailand", "vietnam"],
-}
-COUNTRY_NAMES = {"usa": "united states", "united states of america": "united states", "uk": "united kingdom", "great britain": "united kingdom", "korea, republic of": "south korea", "russian federation": "russia", "czech republic": "czechia", "viet nam": "vietnam"}
+    "NA": ["United States", "Canada"],
+    "WEU": ["Austria", "Belgium", "France", "Germany", "Greece", "Italy", "Liechtenstein", "Luxembourg", "Monaco", "Netherlands", "Portugal", "Spain", "Switzerland"],
+    "EEU": [
+        "Albania", "Belarus", "Bulgaria", "Czech Republic", "Czechia", "Estonia", "Hungary", "Latvia", "Lithuania", "Moldova", "Poland", "Romania", "Russia", "Russian Federation", "Serbia", "Slovakia",
+        "Ukraine",
+    ],
+    "AF": [
+        "Algeria", "Angola", "Benin", "Botswana", "Burkina Faso", "Burundi", "Cabo Verde", "Cape Verde", "Cameroon", "Central African Republic", "Chad", "Comoros", "Congo", "Congo, Republic of the",
+        "Congo, The Democratic Republic of the", "Democratic Republic of the Congo", "Djibouti", "Egypt", "Equatorial Guinea", "Eritrea", "Eswatini", "Swaziland", "Ethiopia", "Gabon", "Gambia", "Ghana",
+        "Guinea", "Guinea-Bissau", "Ivory Coast", "Cote d'Ivoire", "Kenya", "Lesotho", "Liberia", "Libya", "Madagascar", "Malawi", "Mali", "Mauritania", "Mauritius", "Morocco", "Mozambique", "Namibia",
+        "Niger", "Nigeria", "Rwanda", "Sao Tome and Principe", "Senegal", "Seychelles", "Sierra Leone", "Somalia", "South Africa", "South Sudan", "Sudan", "Tanzania", "Togo", "Tunisia", "Uganda", "Zambia",
+        "Zimbabwe",
+    ],
+    "AP": [
+        "Afghanistan", "Armenia", "Azerbaijan", "Bahrain", "Bangladesh", "Bhutan", "Brunei", "Cambodia", "China", "Cyprus", "Georgia", "Hong Kong", "India", "Indonesia", "Iran", "Iraq", "Israel", "Japan",
+        "Jordan", "Kazakhstan", "Kuwait", "Kyrgyzstan", "Laos", "Lebanon", "Macau", "Macao", "Malaysia", "Maldives", "Mongolia", "Myanmar", "Nepal", "North Korea", "Oman", "Pakistan", "Palestine",
+        "Philippines", "Qatar", "Saudi Arabia", "Singapore", "South Korea", "Sri Lanka", "Syria", "Taiwan", "Tajikistan", "Thailand", "Timor-Leste", "Turkey", "Turkmenistan", "United Arab Emirates",
+        "Uzbekistan", "Vietnam", "Viet Nam", "Yemen", "Australia", "New Zealand", "Papua New Guinea", "Fiji", "Solomon Islands", "Vanuatu", "Samoa", "Tonga", "Tuvalu", "Kiribati", "Nauru", "Palau",
+        "Micronesia", "Micronesia, Federated States of", "Marshall Islands", "American Samoa", "Guam", "Northern Mariana Islands",
+    ],
+}
+
+# From a rule: what is ASCII in the compatibility decomposition of each character beyond ASCII, of one character and of several.
+PLAIN = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000}
+ONE = {c: d for c, d in PLAIN.items() if len(d) == 1}
+MORE = {c: d for c, d in PLAIN.items() if len(d) > 1}
 
 
 def blank_if_null(c: Column) -> Column:
@@ -151,7 +172,8 @@ def filled(c: Column, token: str = "Unknown") -> Column:
 
 def pseudo_missing(c: Column) -> Column:
     """Whether a text is null, blank or a word for missing."""
-    return c.isNull() | (F.trim(c) == "") | F.trim(c).rlike(PSEUDO_MISSING)
+    said = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return c.isNull() | (said == "") | said.rlike(PSEUDO_MISSING)
 
 
 def label_key(c: Column) -> Column:
@@ -159,10 +181,18 @@ def label_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(blank_if_null(c)), "[^a-z0-9]", "")
 
 
+def ascii_text(c: Column) -> Column:
+    """The text in compatibility decomposition, with what is not ASCII left out."""
+    many = F.create_map(*(F.lit(x) for pair in MORE.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(many, ch), ch)), "")
+    c = F.when(c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in MORE) + "]"), spelled).otherwise(c)
+    plain = F.regexp_replace(F.translate(c, "".join(ONE), "".join(ONE.values())), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
+
+
 def match_text(c: Column) -> Column:
     """Lower case, accents off, other characters as one space."""
-    flat = F.regexp_replace(F.translate(F.lower(blank_if_null(c)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), "[^a-z0-9]+", " ")
-    return F.trim(flat)
+    return F.trim(F.regexp_replace(F.lower(ascii_text(squeeze(c))), "[^a-z0-9]+", " "))
 
 
 def trial_id(c: Column) -> Column:
@@ -223,18 +253,16 @@ def placebo_like(c: Column) -> Column:
 
 
 def country(c: Column) -> Column:
-    low = F.lower(squeeze(c))
-    out = low
-    for was, name in COUNTRY_NAMES.items():
-        out = F.when(low == was, name).otherwise(out)
-    return out
+    """A country's name for comparison: lower case, & as and, other characters as one space."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(squeeze(c)), F.lit("&"), F.lit("and")), "[^a-z0-9]+", " "))
 
 
 def region(c: Column) -> Column:
     """One of five regions by country, or ''."""
     name, out = country(c), F.lit("")
-    for r, names in REGIONS.items():
-        out = F.when(name.isin(names), r).otherwise(out)
+    for r, names in reversed(REGIONS.items()):
+        keys = [re.sub("[^a-z0-9]+", " ", n.lower()).strip() for n in names]
+        out = F.when(name.isin(keys), r).otherwise(out)
     return out
 
 

@@ -14,6 +14,8 @@ from tessera.operators.profile import stacked
 
 #: Columns that one_hot makes at most of a column's own values.
 MOST_CATEGORIES = 1000
+#: A class is ranked in 2 to that power ranges of a hash.
+PART_BITS = 10
 
 
 def feature_types(df: DataFrame, keys: list[str]) -> dict[str, str]:
@@ -141,9 +143,16 @@ def time_split(df: DataFrame, day: Column, ident: str, test_share: float = 0.2)
 
 
 def stratified(df: DataFrame, label: str, ident: str, seed: int = 42) -> DataFrame:
-    """Adds place (from 0) and n in a seeded order within the class."""
+    """Adds place (from 0) and n in a seeded order within the class. The order is that of a hash, and a class is ranked in PARTS ranges of it, so
+    no task has a whole class."""
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(ident))).withColumn("_part", F.shiftright("_h", 64 - PART_BITS))
+    counts = rows.groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(label)
-    return df.withColumns({"place": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(ident)), ident)) - 1, "n": F.count(F.lit(1)).over(w)})
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(label).alias("_label"), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_c").over(w).alias("n"))
+    rows = rows.join(counts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_p")))
+    place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", ident)) - 1 + F.col("_before")
+    return rows.withColumn("place", place).drop("_h", "_part", "_p", "_label", "_before")
 
 
 def stratified_split(df: DataFrame, label: str, ident: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:

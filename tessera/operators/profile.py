@@ -55,10 +55,14 @@ def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:
-    """Quantiles as the value at place round(q (n - 1)), halves to even, of each group."""
+    """Quantiles as the value at place round(q (n - 1)), halves to even, of each group. Rows are first counted by value, so what a task ranks
+    grows with a group's distinct values and not with its rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    picks = [F.max(F.when(F.col("_r") == F.bround(F.lit(q) * (F.col("_n") - 1)) + 1, F.col(value))).alias(f"q{round(q * 100)}") for q in quantiles]
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*by, value, upto.alias("_r"), (upto - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    place = lambda q: F.bround(F.lit(q) * (F.col("_n") - 1))
+    picks = [F.max(F.when((F.col("_before") <= place(q)) & (place(q) < F.col("_r")), F.col(value))).alias(f"q{round(q * 100)}") for q in quantiles]
     return ranked.groupBy(*by).agg(F.max("_n").cast("long").alias("n"), *picks)
 
 

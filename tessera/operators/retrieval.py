@@ -29,10 +29,10 @@ def top_k(df: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFram
 
 
 def token_index(df: DataFrame, ident: str, fields: dict[str, Column]) -> DataFrame:
-    """(field, token, id), each once: an inverted index, written best by field and sorted by token."""
+    """(field, token, id), each once where ids are: an inverted index, written best by field and sorted by token."""
     per = F.array(*(F.struct(F.lit(name).alias("field"), X.token_set(c).alias("tokens")) for name, c in fields.items()))
     rows = df.select(F.col(ident).alias("id"), F.explode(per).alias("p"))
-    return rows.select("p.field", F.explode("p.tokens").alias("token"), "id").distinct()
+    return rows.select("p.field", F.explode("p.tokens").alias("token"), "id")
 
 
 def token_counts(index: DataFrame) -> DataFrame:
@@ -90,15 +90,18 @@ def combined_score(lexical: Column, phase: Column, conditions: Column, endpoint:
 
 
 def simhash(df: DataFrame, ident: str, c: Column) -> DataFrame:
-    """(id, sig): 64-bit signatures; bit i is set if the tokens' hashes, by how often they occur, have it at least as often as not."""
-    rows = df.select(F.col(ident).alias("id"), F.explode(X.tokens(c)).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.select("id", "n", N.hash64(F.col("token")).alias("h"))
-    sums = rows.groupBy("id").agg(*(F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)))
-    bit = lambda i: F.when(F.col(f"b{i}") >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    sig = bit(0)
-    for i in range(1, 64):
-        sig = sig.bitwiseOR(bit(i))
-    return sums.select("id", sig.alias("sig"))
+    """(id, sig): 64-bit signatures; bit i is set if the tokens' hashes, by how often they occur, have it at least as often as not. A row at a
+    time and without a shuffle: 32 sums of two lanes of 32 bits each count how many hashes have a bit."""
+    rows = df.select(F.col(ident).alias("id"), X.tokens(c).alias("tokens")).where(F.size("tokens") > 0)
+    rows = rows.select("id", F.transform("tokens", N.hash64).alias("h"))
+    low = F.lit(0x0000000100000001).cast("long")
+    lane = lambda j: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(low))
+    rows = rows.select("id", F.size("h").alias("n"), *(lane(j).alias(f"s{j}") for j in range(32)))
+    sig = F.lit(0).cast("long")
+    for i in range(64):
+        ones = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) if i < 32 else F.shiftrightunsigned(f"s{i - 32}", 32)
+        sig = sig.bitwiseOR(F.when(2 * ones >= F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return rows.select("id", sig.alias("sig"))
 
 
 def simhash_bands(sigs: DataFrame) -> DataFrame:
@@ -145,14 +148,17 @@ def substring(df: DataFrame, ident: str, c: Column, word: str, k: int = 10) -> D
 
 
 def name_lookup(names: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """(id, name, score, rank): ids whose name contains the query; prefixes and names of like length score higher, a name that equals it 1."""
+    """(id, name, score, rank): the id whose name equals the query, with score 1, alone; else ids whose name contains it, of which prefixes and
+    names of like length score higher. Of ids with one name the smallest is taken."""
     q = " ".join(query.lower().split())
-    found = names.where(F.col("name").contains(q))
+    found = names.where(F.col("name").contains(q)).withColumn("same", F.col("name") == q)
+    any_same = F.broadcast(found.agg(F.coalesce(F.bool_or("same"), F.lit(False)).alias("exact")))  # one row
     score = F.lit(0.6) + F.when(F.col("name").startswith(q), 0.25).otherwise(0.0) + F.greatest(F.lit(0.0), 0.2 - F.abs(F.length("name") - len(q)) / 100)
-    scored = found.select("id", "name", F.round(score, 3).alias("score"))
-    best = scored.groupBy("id").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), "name")).alias("b")).select("id", "b.*")
+    scored = found.crossJoin(any_same).where(~F.col("exact") | F.col("same")).select("id", "name", "exact", F.when(F.col("exact"), 1.0).otherwise(F.round(score, 3)).alias("score"))
+    best = scored.groupBy("id").agg(F.min_by(F.struct("name", "score", "exact"), F.struct(-F.col("score"), "name")).alias("b")).select("id", "b.*")
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-    return best.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", rank.cast("long"))
+    first = best.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", rank.cast("long"))
+    return first.where(~F.col("exact") | (F.col("rank") == 1)).drop("exact")
 
 
 def cascade(relation: DataFrame | None, vector: DataFrame | None, simhash_hits: DataFrame | None, scan: DataFrame, relation_only: bool = False) -> DataFrame:

@@ -150,6 +150,13 @@ def name_lookup(t: Tables) -> DataFrame:
     return S.name_lookup(names, "red", 5)
 
 
+@query
+def name_lookup_exact(t: Tables) -> DataFrame:
+    """The nation whose name is asked for, though others hold that name as well."""
+    names = t.nation.select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"))
+    return S.name_lookup(names, "Nation_1", 5)
+
+
 @query
 def combined_score_scan(t: Tables) -> DataFrame:
     """The ten parts most like each queried part by the whole-record score."""
@@ -297,6 +304,26 @@ def normalised_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.squeeze(F.col("text")).cast("binary")).alias("squeezed"), X.snippet(F.col("text"), 80).alias("snippet"))
 
 
+@query
+def text_keys(t: Tables) -> DataFrame:
+    """Keys, ids and parts of made-up registry texts about each supplier."""
+    said = F.concat(F.lit("Arm "), F.col("s_name"), F.lit(" (old): see nct0"), F.col("s_suppkey").cast("string"), F.lit(", NCT7; 2010-123456-12 + Drug-B"))
+    rows = t.supplier.select("s_suppkey", said.alias("said"))
+    c = F.col("said")
+    parts = F.array_join(X.split_list(c), "/")
+    return rows.select("s_suppkey", X.label_key(c).alias("label"), X.match_text(c).alias("match"), X.trial_id(c).alias("trial"), X.eudract_id(c).alias("eudract"), parts.alias("parts"), X.primary_drug(c).alias("drug"))
+
+
+SAID_COUNTRIES = ["United States", "Mexico", "Germany ", "Sweden", "Congo, The Democratic Republic of the", "cote d'ivoire", "Korea, Republic of", "South  Korea", "Czechia", "Israel", "United Kingdom", "Timor-Leste"]
+
+
+@query
+def nation_regions(t: Tables) -> DataFrame:
+    """Region of a made-up country of each nation, as a registry's countries are put into five."""
+    said = F.element_at(F.array(*map(F.lit, SAID_COUNTRIES)), (F.col("n_nationkey") % len(SAID_COUNTRIES) + 1).cast("int"))
+    return t.nation.select("n_nationkey", X.country(said).alias("country"), X.region(said).alias("region"))
+
+
 @query
 def split_sections(t: Tables) -> DataFrame:
     a, b = X.split_sections(F.col("text"), "released", "license")

@@ -36,7 +36,7 @@ def profile_num(table: str, c: str) -> str:
 
 
 def profile_str(table: str, c: str) -> str:
-    missing = r"^(?:n/?a|nan|null|none|missing|not available|not applicable|not reported|not specified|unknown|-|\.|--|blank)$"
+    missing = r"^(?:n/?a|nan|null|none|missing|not\s*(?:available|applicable|reported|specified)|unknown|-|\.|--)$"
     return f"""SELECT '{c}' AS "column", count(*) AS n, CAST(count(*) FILTER ({c} IS NULL OR {c} = '') AS BIGINT) AS n_missing,
   CAST(count(*) FILTER ({c} IS NULL OR trim({c}) = '' OR regexp_matches(trim({c}), '{missing}', 'i')) AS BIGINT) AS n_pseudo, CAST(count(DISTINCT {c}) AS BIGINT) AS n_unique,
   CAST(min(length({c})) AS BIGINT) AS shortest, CAST(max(length({c})) AS BIGINT) AS longest, round(avg(length({c})), 4) AS mean_length FROM {table}"""
@@ -71,7 +71,7 @@ DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE
 VECTORS = f"""
 u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n) AS v FROM (
   SELECT vec_id, label, embedding, CASE WHEN d > 0 THEN sqrt(d) ELSE 1 END AS n FROM (SELECT vec_id, label, embedding, {DOT.format('embedding', 'embedding')} AS d FROM embeddings))),
-s AS (SELECT q.vec_id AS query, x.vec_id AS id, x.label, round({DOT.format('q.v', 'x.v')}, 6) AS score FROM u q JOIN u x ON q.vec_id < 10 AND x.vec_id <> q.vec_id)
+s AS (SELECT q.vec_id AS query, x.vec_id AS id, x.label, round({DOT.format('q.v', 'x.v')}, 6) AS score FROM u q JOIN u x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id)
 """
 EDGES = """
 e0 AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier
@@ -97,7 +97,7 @@ WITH f AS (SELECT p_partkey AS id, CAST(p_size AS VARCHAR) AS phase, {tokens('p_
 s AS (
   SELECT q.id AS query, x.id, q.phase = x.phase AS ph, len(list_intersect(q.c, x.c)) / (len(q.c) + len(x.c) - len(list_intersect(q.c, x.c))) AS c,
     len(list_intersect(q.d, x.d)) / (len(q.d) + len(x.d) - len(list_intersect(q.d, x.d))) AS d, len(list_intersect(q.b, x.b)) / (len(q.b) + len(x.b) - len(list_intersect(q.b, x.b))) AS b
-  FROM f q JOIN f x ON q.id BETWEEN 1 AND 20 AND q.id <> x.id),
+  FROM f q JOIN f x ON q.id % 50 = 0 AND q.id <> x.id),
 t AS (
   SELECT query, id, CASE WHEN c > 0 AND d > 0 AND b > 0 AND ph THEN 1 WHEN c > 0 AND d > 0 AND ph THEN 2 WHEN c > 0 AND ph THEN 3 WHEN c > 0 THEN 4 END AS tier,
     0.45 * c + 0.25 * d + 0.2 * b + CASE WHEN ph THEN 0.1 ELSE 0 END AS score FROM s WHERE c > 0)
@@ -113,7 +113,7 @@ SELECT a, b, CAST(distance AS BIGINT) AS distance FROM p WHERE distance <= 8 UNI
     "edges_build": f"WITH {EDGES} SELECT src, dst FROM e",
     "khop_related": f"""
 WITH RECURSIVE {EDGES},
-w(query, node, hop) AS (SELECT 'customer:' || c_custkey, 'customer:' || c_custkey, 0 FROM customer WHERE c_custkey BETWEEN 1 AND 5 UNION SELECT query, dst, hop + 1 FROM w JOIN e ON node = src WHERE hop < 3),
+w(query, node, hop) AS (SELECT 'customer:' || c_custkey, 'customer:' || c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0 UNION SELECT query, dst, hop + 1 FROM w JOIN e ON node = src WHERE hop < 3),
 m AS (SELECT query, node, min(hop) AS hop FROM w GROUP BY ALL HAVING min(hop) > 0)
 SELECT query, node, CAST(hop AS BIGINT) AS hop, round(1 / hop, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY hop, node) AS rank FROM m WHERE node LIKE 'supplier:%' QUALIFY rank <= 5""",
     "substring_search": rf"""
@@ -125,9 +125,9 @@ WITH s AS (SELECT p_partkey AS id, lower(p_name) AS name, round(0.6 + CASE WHEN
 SELECT id, name, CAST(score AS DOUBLE) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY score DESC, id LIMIT 5""",
     "combined_score_scan": f"""
 WITH f AS (SELECT p_partkey, p_size, lower(p_type) AS ty, lower(p_brand) AS br, list_distinct(string_split(lower(p_name), ' ')) AS nm, {tokens("concat_ws(' ', p_name, p_type, p_brand)")} AS tk FROM part),
-s AS (SELECT x.p_partkey, len(list_intersect(q.tk, x.tk)) / len(list_distinct(list_concat(q.tk, x.tk))) + 0.15 * CAST(q.p_size = x.p_size AS INT) + 0.4 * len(list_intersect(q.nm, x.nm)) / len(list_distinct(list_concat(q.nm, x.nm)))
-  + 0.2 * CAST(q.ty = x.ty AS INT) + 0.25 * CAST(q.br = x.br AS INT) AS score FROM f q JOIN f x ON q.p_partkey = 1 AND x.p_partkey <> 1)
-SELECT p_partkey, round(score, 6) AS score FROM s ORDER BY 2 DESC, 1 LIMIT 10""",
+s AS (SELECT q.p_partkey AS query, x.p_partkey, len(list_intersect(q.tk, x.tk)) / len(list_distinct(list_concat(q.tk, x.tk))) + 0.15 * CAST(q.p_size = x.p_size AS INT) + 0.4 * len(list_intersect(q.nm, x.nm)) / len(list_distinct(list_concat(q.nm, x.nm)))
+  + 0.2 * CAST(q.ty = x.ty AS INT) + 0.25 * CAST(q.br = x.br AS INT) AS score FROM f q JOIN f x ON q.p_partkey % 50 = 0 AND x.p_partkey <> q.p_partkey)
+SELECT query, p_partkey, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, p_partkey) <= 10""",
     "study_merge": """
 WITH m AS (SELECT l_orderkey, avg(l_quantity) AS q, avg(l_extendedprice) AS p, list(l_returnflag ORDER BY l_linenumber, l_returnflag)[1] AS f FROM lineitem GROUP BY 1)
 SELECT o_orderkey, o_custkey, c_mktsegment, n_name, round(q, 6) AS mean_quantity, round(p, 6) AS mean_price, f AS first_flag
@@ -160,6 +160,15 @@ UNION ALL SELECT 'o_orderpriority', max(a) > 1 FROM (SELECT count(DISTINCT o_ord
 WITH s AS (SELECT [' Yes - planned', 'None', '', 'unknown', 'no', 'YES', 'maybe'][event_id % 7 + 1] AS said FROM events)
 SELECT said, CASE WHEN trim(lower(said)) LIKE 'yes%' THEN 'Yes' WHEN trim(lower(said)) LIKE 'no%' THEN 'No' ELSE 'Unknown' END AS value, count(*) AS n FROM s GROUP BY ALL""",
     "normalised_text": f"SELECT doc_id, md5({SQUEEZED}) AS squeezed, CASE WHEN length({SQUEEZED}) <= 80 THEN {SQUEEZED} ELSE rtrim(substr({SQUEEZED}, 1, 77)) || '...' END AS snippet FROM documents",
+    "text_keys": r"""
+WITH x AS (SELECT s_suppkey, 'Arm ' || s_name || ' (old): see nct0' || s_suppkey || ', NCT7; 2010-123456-12 + Drug-B' AS said FROM supplier)
+SELECT s_suppkey, regexp_replace(lower(said), '[^a-z0-9]', '', 'g') AS label, trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')) AS match, 'NCT0' || s_suppkey AS trial, '2010-123456-12' AS eudract,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(said, '[;,|]'), lambda p: trim(p)), lambda p: p <> ''), '/') AS parts,
+  trim(regexp_replace(lower(regexp_replace(string_split(said, ',')[1], '\([^)]*\)', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')) AS drug FROM x""",
+    "nation_regions": """
+SELECT n_nationkey, ['united states', 'mexico', 'germany', 'sweden', 'congo the democratic republic of the', 'cote d ivoire', 'korea republic of', 'south korea', 'czechia', 'israel', 'united kingdom', 'timor leste'][n_nationkey % 12 + 1] AS country,
+  ['NA', '', 'WEU', '', 'AF', 'AF', '', 'AP', 'EEU', 'AP', '', 'AP'][n_nationkey % 12 + 1] AS region FROM nation""",
+    "name_lookup_exact": "SELECT n_nationkey AS id, lower(n_name) AS name, CAST(1 AS DOUBLE) AS score, CAST(1 AS BIGINT) AS rank FROM nation WHERE lower(n_name) = 'nation_1'",
     "split_sections": r"""
 WITH p AS (SELECT doc_id, text, instr(lower(text), 'released') AS a, instr(lower(text), 'license') AS b FROM documents),
 s AS (SELECT doc_id, CASE WHEN a > 0 AND b > 0 AND a < b THEN substr(text, a, b - a) WHEN a > 0 THEN substr(text, a) WHEN b > 0 THEN '' ELSE text END AS x,
@@ -167,15 +176,18 @@ s AS (SELECT doc_id, CASE WHEN a > 0 AND b > 0 AND a < b THEN substr(text, a, b
 SELECT doc_id, md5(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS first, md5(trim(regexp_replace(y, '\s+', ' ', 'g'))) AS second FROM s""",
     "json_extract": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1",
     "html_fields": r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_p FROM pages""",
-    "evidence_validate": "SELECT item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON source = 'src0' AND contains(d.text, trim(substr(b.text, 1, 60))) GROUP BY 1",
+    "evidence_validate": """
+WITH s AS (SELECT item_id, list_transform(range(CAST(ceil(length(text) / 240) AS BIGINT)), lambda i: trim(substr(text, CAST(i * 240 + 1 AS BIGINT), 240))) AS parts FROM benchmark WHERE length(text) > 0)
+SELECT item_id, count(*) AS n_docs FROM s JOIN documents d ON contains(d.text, parts[1]) WHERE len(list_filter(parts, lambda p: NOT contains(d.text, p))) = 0 GROUP BY 1""",
     "trial_features": r"""
 WITH w AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9\-\+]+')) AS BIGINT) AS n_words, CAST(CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'token') AS INT) + CAST(contains(lower(text), 'released') AS INT) AS BIGINT) AS hits FROM documents),
-s AS (SELECT *, round(least(1.0, 0.5 * least(1.0, n_words / 800) + 0.3 * least(1.0, hits / 5) + 0.2 * (0.5 / 1.5)), 3) AS score FROM w)
+s AS (SELECT *, round_even(least(1.0, 0.5 * least(1.0, n_words / 800) + 0.3 * least(1.0, hits / 5) + 0.2 * (0.5 / 1.5)), 3) AS score FROM w)
 SELECT doc_id, n_words, hits, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.65 THEN 'very_strict' WHEN score >= 0.45 THEN 'moderate' ELSE 'permissive' END AS label FROM s""",
     "recommend_rules": """
 WITH f AS (SELECT p_partkey AS id, p_brand, p_size, p_size / 50 AS strictness, '' AS endpoint FROM part),
-m AS (SELECT p_brand, avg(strictness) AS mean FROM f GROUP BY 1), c AS (SELECT f.*, mean FROM f JOIN m USING (p_brand) WHERE p_size = 1),
-a AS (SELECT 'randomize' AS action FROM c UNION ALL SELECT 'add_control' FROM c UNION ALL SELECT 'loosen_criteria' FROM c WHERE strictness > mean + 0.1 UNION ALL SELECT 'review_exclusions' FROM c WHERE strictness < mean - 0.1 UNION ALL SELECT 'define_endpoint' FROM c)
+m AS (SELECT p_brand, avg(strictness) AS mean FROM f GROUP BY 1), c AS (SELECT f.*, mean FROM f JOIN m USING (p_brand)),
+a AS (SELECT 'randomize' AS action FROM c WHERE p_size % 2 <> 0 UNION ALL SELECT 'add_control' FROM c WHERE p_size % 3 <> 0 UNION ALL SELECT 'loosen_criteria' FROM c WHERE strictness > mean + 0.1
+  UNION ALL SELECT 'review_exclusions' FROM c WHERE strictness < mean - 0.1 UNION ALL SELECT 'define_endpoint' FROM c)
 SELECT action, count(*) AS n FROM a GROUP BY 1""",
     "column_profile_num": " UNION ALL ".join([*(profile_num("lineitem", c) for c in ("l_quantity", "l_discount", "l_linenumber")), profile_num("customer", "c_acctbal")]),
     "column_profile_str": " UNION ALL ".join([*(profile_str("customer", c) for c in ("c_name", "c_mktsegment")), *(profile_str("documents", c) for c in ("lang", "source"))]),
@@ -268,7 +280,7 @@ SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY 1""",
 SELECT ['18', '0.5', '0.25', '', '', '0.5', '2.5'][event_id % 7 + 1] AS age, ['No', 'Yes', 'Yes', 'Yes', '', 'Yes', 'Yes'][event_id % 7 + 1] AS blinded, ['0', '2', '4', '1', '', '3', ''][event_id % 7 + 1] AS level,
   ['Both', 'Female', 'Male', 'Both', ''][event_id % 5 + 1] AS sex, count(*) AS n FROM events GROUP BY ALL""",
     "focus_lengths": r"""
-WITH p AS (SELECT lang, unnest(string_split(text, chr(10))) AS p FROM documents), n AS (SELECT lang, length(substr(trim(regexp_replace(p, '\s+', ' ', 'g')), 1, 500)) AS n FROM p WHERE trim(p) <> '')
+WITH p AS (SELECT lang, unnest(string_split(text, chr(10))) AS p FROM documents), n AS (SELECT lang, length(trim(regexp_replace(p, '\s+', ' ', 'g'))) AS n FROM p WHERE trim(p) <> '')
 SELECT lang, count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 4) AS mean FROM n GROUP BY 1""",
     "nested_study_records": """
 WITH o AS (SELECT o_custkey, least(20, count(DISTINCT o_orderstatus || o_orderpriority)) AS n FROM orders GROUP BY 1)

@@ -43,16 +43,25 @@ def of(spark, column, value, kind="string"):
         (X.primary_drug, "Drug-A (old) + Drug B", "drug a"),
         (X.combo_parts, "a and b/c plus d; e", ["a", "b", "c", "d", "e"]),
         (X.split_list, "a; b, |c", ["a", "b", "c"]),
-        (X.region, "USA", "NA"),
+        (X.region, "United  States", "NA"),
+        (X.region, "Mexico", ""),
+        (X.region, "congo, republic of the", "AF"),
+        (X.region, "Cote d'Ivoire", "AF"),
+        (X.region, "Israel", "AP"),
+        (X.region, "Sweden", ""),
         (X.region, "Germany", "WEU"),
         (X.region, "Atlantis", ""),
         (X.placebo_like, "Matching Placebo", True),
         (X.label_key, "Arm A: 10 mg", "arma10mg"),
-        (X.match_text, "Été  Nº1", "ete n 1"),
+        (X.match_text, "Été  Nº1", "ete no1"),
+        (X.match_text, "ﬁnal ½ β-x ™", "final 12 x tm"),
+        (X.match_text, None, ""),
         (X.plain_text, "<p>a &lt; b</p><script>x</script>\n\n\n<b>c</b>", "a < b\n\nc"),
         (X.without_fence, '```json\n{"a": 1}\n```', '{"a": 1}'),
         (X.pseudo_missing, " Not Reported ", True),
         (X.pseudo_missing, "none of these", False),
+        (X.pseudo_missing, "\tNotApplicable\n", True),
+        (X.pseudo_missing, "blank", False),
         (N.first_int, "a 12 b 3", 12),
         (N.first_float, "x -1.5", -1.5),
         (N.phase_value, "Phase 2/3", 2.5),
@@ -95,6 +104,7 @@ def test_numbers(spark):
     lit = F.lit
     assert get(N.ratio_text(lit(1), lit(3))) == "0.3333" and get(N.ratio_text(lit(1), lit(2))) == "0.5" and get(N.ratio_text(lit(1), lit(0))) == ""
     assert get(N.strictness(lit(80), lit(2), lit(1.0), lit(None).cast("double"))) == pytest.approx(0.237)
+    assert get(N.strictness(lit(100), lit(0), lit(None).cast("double"), lit(None).cast("double"))) == 0.062
     assert get(N.strictness_label(lit(0.237))) == "permissive"
     assert get(N.jaccard(F.array(lit("a"), lit("b")), F.array(lit("b")))) == 0.5 and get(N.jaccard(F.array().cast("array<string>"), F.array(lit("b")))) == 0
     assert get(N.hamming(lit(5).cast("long"), lit(-1).cast("long"))) == 62
