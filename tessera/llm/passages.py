@@ -1,6 +1,6 @@
 """Substring dedup: recurring passages are confirmed, compiled into sharded automata, and located in every document.
 
-A window is `window` consecutive words. Words are hashed to 64 bits, windows to 96.
+A window is `window` consecutive words. Words are hashed to 64 bits, all of a slice of documents at once over its bytes, windows to 96.
 1 The text is written once in batches (an input split each, named by a number), so later passes read the same batches.
 2 Each window has a seed, the least hash of its runs of GRAM words: windows that are equal have equal seeds. A batch gives each of its
   distinct seeds once, and whether it stands in two places there. Seeds with two rows or that mark are recurring.
@@ -8,8 +8,9 @@ A window is `window` consecutive words. Words are hashed to 64 bits, windows to
   confirmed: that word sequence starts in two places.
 4 Runs of confirmed windows are recurring passages. Of each, windows that just cover it become phrases, as text; the phrases of the whole
   corpus, each once, are dealt to the batches that have their window, whichever document they came from.
-5 A batch's phrases, SHARD_PHRASES at a time, are compiled into Aho-Corasick automata over word numbers with pyahocorasick, and all the
-  batch's documents stream through all of these. The automata's matches alone say which words go.
+5 A batch's phrases, SHARD_PHRASES at a time, are compiled into Aho-Corasick automata with pyahocorasick, and all the batch's documents
+  stream through all of these. A word is written there as two of 64 letters, by 12 bits of its hash, so that a node has few children, among
+  which the library looks one by one; a match counts if its text is that of a phrase. These matches alone say which words go.
 What a batch gives to a shuffle holds a hash once, so a passage that a third of all rows have gives at most a row a batch, and no step
 gathers a group. Recurring seeds, confirmed hashes and phrases go back to their batches in files by group of batches, sorted by batch, of which
 a task reads its own batch's.
@@ -21,6 +22,7 @@ text of any length is worked on whole. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.neardup import M1, Words, mixed
+from tessera.llm.neardup import mixed
 from tessera.llm.shared import columns, mapped, materialize, new_path
 from tessera.llm.tokens import target
 
@@ -84,15 +86,49 @@ def window_hashes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.n
     return rolling(h, window, A), rolling(h, window, B) >> np.uint64(33)
 
 
-class Slice:
-    """The words of some documents, those that have a window one after another, with their hashes; `whole` tells which windows lie in one."""
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+LETTERS = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
-    def __init__(self, texts: list[str | None], hashes: Words, window: int):
-        self.split = [ws for t in texts if len(ws := words_of(t)) >= window]
-        self.sizes = np.array([len(ws) for ws in self.split], np.int64)
-        self.h = hashes.of(list(itertools.chain.from_iterable(self.split)))
-        ends = np.repeat(np.cumsum(self.sizes), self.sizes)
-        self.whole = (np.arange(len(self.h)) + window <= ends)[: max(0, len(self.h) - window + 1)]
+@functools.lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2^64, and their inverses."""
+    up = np.full(n, A, np.uint64)
+    down = np.full(n, np.uint64(pow(int(A), -1, 2**64)), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+class Slice:
+    """The words of some documents one after another: hashes h, where in `raw` they begin and end, words of each document (sizes); `whole` tells
+    which windows lie in one document."""
+
+    def __init__(self, texts: list[str | None], window: int):
+        parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        self.raw = b"\n".join([*parts, b""]) or b"\n"
+        x = np.frombuffer(self.raw, np.uint8)
+        blank = BLANK[x]
+        change = np.flatnonzero(np.diff(blank, prepend=True))  # the last byte is blank
+        self.first, self.last = change[0::2], change[1::2]
+        up, down = powers(1 << (len(x) - 1).bit_length())
+        upto = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(LETTERS[x] * up[: len(x)], out=upto[1:])
+        self.h = mixed((upto[self.last] - upto[self.first]) * down[self.first])
+        ends = np.searchsorted(self.first, np.cumsum([len(p) + 1 for p in parts]))
+        self.sizes = np.diff(ends, prepend=0)
+        stop = np.repeat(ends, self.sizes)
+        self.whole = (np.arange(len(self.h)) + window <= stop)[: max(0, len(self.h) - window + 1)]
+
+    def text(self, start: int, window: int) -> bytes:
+        """The words of a window, joined by a space."""
+        return b" ".join(self.raw[self.first[start] : self.last[start + window - 1]].split())
+
+    def letters(self) -> str:
+        """Two characters for each word, one of 64 each."""
+        c = np.empty(2 * len(self.h), "<u4")
+        c[0::2], c[1::2] = 256 + (self.h >> np.uint64(8) & np.uint64(63)), 320 + (self.h >> np.uint64(14) & np.uint64(63))
+        return c.tobytes().decode("utf-32-le")
 
 
 def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +196,7 @@ def recurring_seeds(batched: DataFrame, window: int = WINDOW) -> DataFrame:
     """(batch, v): the seeds of each batch that stand in two places of the corpus."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, batch = Words(), [], 0, 0
+        held, size, batch = [], 0, 0
 
         def give() -> pa.RecordBatch:
             u, twice = distinct(held)
@@ -170,8 +206,8 @@ def recurring_seeds(batched: DataFrame, window: int = WINDOW) -> DataFrame:
             if held and (n != batch or size > BUFFER):
                 yield give()
                 held, size = [], 0
-            batch, x = n, Slice(own.column(0).to_pylist(), hashes, window)
-            if len(x.h):
+            batch, x = n, Slice(own.column(0).to_pylist(), window)
+            if len(x.whole):
                 held.append(seeds(x.h, window, whole=x.whole)[1])
                 size += len(held[-1])
         if held:
@@ -186,7 +222,7 @@ def confirmed_windows(batched: DataFrame, seed_path: str, window: int = WINDOW)
     """(batch, h): the windows of each batch whose word sequence starts in two places of the corpus."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, batch, known = Words(), [], 0, None, np.empty(0, np.uint64)
+        held, size, batch, known = [], 0, None, np.empty(0, np.uint64)
 
         def give() -> pa.RecordBatch:
             h, i, twice = distinct_pairs(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
@@ -198,8 +234,8 @@ def confirmed_windows(batched: DataFrame, seed_path: str, window: int = WINDOW)
                 held, size = [], 0
             if n != batch:
                 batch, known = n, own_hashes(seed_path, n)
-            x = Slice(own.column(0).to_pylist(), hashes, window)
-            if len(x.h) and (some := among(seeds(x.h, window)[0], known) & x.whole).any():
+            x = Slice(own.column(0).to_pylist(), window)
+            if len(x.whole) and (some := among(seeds(x.h, window)[0], known) & x.whole).any():
                 h, i = window_hashes(x.h, window)
                 held.append((h[some], i[some]))
                 size += int(some.sum())
@@ -215,12 +251,12 @@ def phrases(batched: DataFrame, seed_path: str, window_path: str, window: int =
     """(h, i, phrase): windows that cover the recurring passages of all documents, each window once."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, batch, known, marks, seen = Words(), None, None, None, set()
+        batch, known, marks, seen = None, None, None, set()
         for n, own in by_batch(parts):
             if n != batch:
                 batch, known, marks, seen = n, own_hashes(seed_path, n), own_hashes(window_path, n), set()
-            x = Slice(own.column(0).to_pylist(), hashes, window)
-            if not len(marks) or not len(x.h) or not (some := among(seeds(x.h, window)[0], known) & x.whole).any():
+            x = Slice(own.column(0).to_pylist(), window)
+            if not len(marks) or not len(x.whole) or not (some := among(seeds(x.h, window)[0], known) & x.whole).any():
                 continue
             h, i = window_hashes(x.h, window)
             starts = np.flatnonzero(some)
@@ -232,9 +268,7 @@ def phrases(batched: DataFrame, seed_path: str, window_path: str, window: int =
             seen |= {(int(h[s]), int(i[s])) for s in starts}
             if len(seen) > BUFFER // 4:
                 seen = set()
-            first = np.cumsum(x.sizes) - x.sizes
-            owner = np.searchsorted(first, starts, "right") - 1
-            text = [b" ".join(x.split[d][s - first[d] : s - first[d] + window]) for d, s in zip(owner.tolist(), starts.tolist(), strict=True)]
+            text = [x.text(j, window) for j in starts.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(i[starts].astype(np.int32)), pa.array(text, pa.binary())], ["h", "i", "phrase"])
 
     found = mapped(batched.select("text", "batch"), run, "h long, i int, phrase binary")
@@ -252,27 +286,38 @@ def covering(starts: np.ndarray, window: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def locate(found: list[bytes], texts: list[str | None], window: int, shard: int = SHARD_PHRASES) -> list[np.ndarray | None]:
-    """Which words of each text an occurrence of one of the phrases covers; None where none does."""
+def shards_of(found: list[bytes], window: int, shard: int) -> Iterator[tuple[object, list[set[bytes]]]]:
+    """Automata of at most `shard` phrases each, whose values say which phrases a match may be."""
     import ahocorasick
 
-    covers: list[np.ndarray | None] = [None] * len(texts)
     for j in range(0, len(found), shard):
-        numbers: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for p in found[j : j + shard]:
-            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in p.split()]), 1)
+        part = found[j : j + shard]
+        letters = Slice([p.decode("utf-8", "surrogatepass") for p in part], window).letters()
+        automaton, texts, at = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], {}
+        for i, p in enumerate(part):
+            key = letters[2 * window * i : 2 * window * (i + 1)]
+            if key not in at:
+                at[key] = len(texts)
+                texts.append(set())
+                automaton.add_word(key, at[key])
+            texts[at[key]].add(p)
         automaton.make_automaton()
-        for k, t in enumerate(texts):
-            # Words that are in no phrase are 0.
-            codes = tuple(map(numbers.get, words_of(t), itertools.repeat(0)))
-            if ends := [e for e, _ in automaton.iter(codes)] if len(codes) >= window else []:
-                if covers[k] is None:
-                    covers[k] = np.zeros(len(codes) + 1, np.int32)
-                at = np.array(ends, np.int64)
-                np.add.at(covers[k], at - (window - 1), 1)
-                np.add.at(covers[k], at + 1, -1)
-    return [None if m is None else np.cumsum(m[:-1]) > 0 for m in covers]
+        yield automaton, texts
+
+
+def locate(found: list[bytes], slices: list[list[str | None]], window: int, shard: int = SHARD_PHRASES) -> list[np.ndarray]:
+    """Of each slice of documents: which of its words an occurrence of one of the phrases covers."""
+    covers: list[np.ndarray | None] = [None] * len(slices)
+    for automaton, phrases in shards_of(found, window, shard):
+        for k, texts in enumerate(slices):
+            x = Slice(texts, window)
+            if covers[k] is None:
+                covers[k] = np.zeros(len(x.h) + 1, np.int32)
+            hits = [(e - 2 * window + 1, v) for e, v in automaton.iter(x.letters())]
+            at = np.array([i // 2 for i, v in hits if x.whole[i // 2] and x.text(i // 2, window) in phrases[v]], np.int64)
+            np.add.at(covers[k], at, 1)
+            np.add.at(covers[k], at + window, -1)
+    return [np.zeros(0, bool) if m is None else np.cumsum(m[:-1]) > 0 for m in covers]
 
 
 def remove(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS, shard: int = SHARD_PHRASES, keep_text: bool = False) -> DataFrame:
@@ -288,13 +333,14 @@ def remove(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS
         batch, found, held, size = None, [], [], 0
 
         def give() -> Iterator[pa.RecordBatch]:
-            texts = list(itertools.chain.from_iterable(t.to_pylist() for _, t in held))
-            masks = iter(zip(texts, locate(found, texts, window, shard), strict=True))
-            for ids, _ in held:
-                out = []
-                for t, gone in itertools.islice(masks, len(ids)):
+            slices = [t.to_pylist() for _, t in held]
+            for (ids, _), texts, gone in zip(held, slices, locate(found, slices, window, shard), strict=True):
+                out, at = [], 0
+                for t in texts:
                     ws = words_of(t)
-                    left = ws if gone is None else list(itertools.compress(ws, (~gone).tolist()))
+                    mask = gone[at : at + len(ws)]
+                    at += len(ws)
+                    left = list(itertools.compress(ws, (~mask).tolist())) if mask.any() else ws
                     text = b" ".join(left)
                     out.append((len(ws), len(ws) - len(left), hashlib.sha256(text).hexdigest(), text if keep_text else None))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
