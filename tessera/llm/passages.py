@@ -38,8 +38,8 @@ from tessera.llm.shared import columns, mapped, materialize, new_path
 from tessera.llm.tokens import target
 
 WINDOW, GRAM = 35, 8
-SHARD_PHRASES = 12_000
-CHUNK_WORDS = 2_000_000  # words of documents that a task holds as numbers
+SHARD_PHRASES = 24_000
+CHUNK_WORDS = 4_000_000  # words of documents that a task holds as numbers
 GROUP = 64  # batches a folder
 BUFFER = 1_000_000  # windows that a task holds before it gives their distinct hashes
 A, B = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
