@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
@@ -17,6 +19,9 @@ BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch that a task has as Python objects at a time.
 SLICE_ROWS = 512
 
+#: Working tables of the innermost passing() block.
+PASSING: contextvars.ContextVar[list[str]] = contextvars.ContextVar("passing")
+
 #: White space that ends a word, as Java and Python regular expressions write it.
 SPACE = r"\x20\x09-\x0D"
 
@@ -33,15 +38,54 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def on_files(spark: SparkSession, path: str):
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; it goes when the application ends."""
+    """A path in the shared folder that no other run uses; it goes when the application ends, or with the passing() block that it is named in."""
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(to)
+    fs, to = on_files(spark, path)
+    fs.deleteOnExit(to)
+    if (inside := PASSING.get(None)) is not None:
+        inside.append(path)
     return path
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more. It waits for the driver's garbage collector,
+    which seldom runs on a driver with memory to spare."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """The working tables named inside go when the block ends: what is to last must be written, to a path named outside, within the block."""
+    paths: list[str] = []
+    before = PASSING.set(paths)
+    try:
+        yield
+    finally:
+        PASSING.reset(before)
+        for path in paths:
+            fs, to = on_files(spark, path)
+            fs.delete(to, True)
+        sweep(spark)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make() as a table, without the working tables that they were made through."""
+    path = new_path(spark, name)
+    with passing(spark):
+        df = make()
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        del df
+    return spark.read.schema(schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: computed once, without lineage, safe when an executor goes."""
     path = new_path(df.sparkSession, name)
