@@ -7,6 +7,7 @@ import contextvars
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,9 +56,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more. It waits for the driver's garbage collector,
-    which seldom runs on a driver with memory to spare."""
+    which seldom runs on a driver with memory to spare; the first of the two runs may only find what the second can give up."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @contextlib.contextmanager
