@@ -20,6 +20,7 @@ from tessera.operators import modeling as G
 from tessera.operators import profile as P
 from tessera.operators import relational as R
 from tessera.operators import retrieval as S
+from tessera.operators import views as V
 from tessera.plans import oracles
 from tessera.sources import io
 from tessera.streaming import incremental
@@ -657,6 +658,89 @@ def nested_study_records(t: Tables) -> DataFrame:
     return records.select("trial_id", F.col("study.phase").alias("phase"), F.size("outcomes").cast("long").alias("n_outcomes"), C.focus_text(records, "condition").alias("condition"))
 
 
+# Hits, records and answers
+
+
+@query
+def simhash_nearest(t: Tables) -> DataFrame:
+    sigs = S.simhash(t.documents, "doc_id", F.col("text"))
+    return V.simhash_top(sigs, queried(sigs, "id").withColumnRenamed("id", "query"), 5)
+
+
+@query
+def simhash_search(t: Tables) -> DataFrame:
+    """The five documents most like each queried one: the 40 nearest signatures, ranked again by their tokens."""
+    sigs = S.simhash(t.documents, "doc_id", F.col("text"))
+    found = V.simhash_top(sigs, queried(sigs, "id").withColumnRenamed("id", "query"), 8 * 5)
+    words = t.documents.select(F.col("doc_id").alias("id"), X.token_set(F.col("text")).alias("w"))
+    pairs = found.select("query", "id").join(words, "id").join(words.select(F.col("id").alias("query"), F.col("w").alias("q")), "query")
+    return V.reranked(found, pairs.select("query", "id", F.round(N.jaccard(F.col("w"), F.col("q")), 6).alias("score")), 5)
+
+
+def answered(t: Tables) -> DataFrame:
+    """Orders with an answer of one of seven kinds."""
+    kinds = ["not json", '{"error": ""}', '{"error": "slow"}', '{"type": "tool", "tool": "x"}', '{"type": "lookup"}', 'see {"type": "final"} end', '{"type": "other"}']
+    return t.orders.withColumn("answer", F.get(F.array(*map(F.lit, kinds)), (F.col("o_orderkey") % 7).cast("int")))
+
+
+@query
+def response_errors(t: Tables) -> DataFrame:
+    return V.response_status(answered(t), ["o_orderpriority"], "answer")
+
+
+@query
+def answer_actions(t: Tables) -> DataFrame:
+    asked = answered(t).select(V.action(F.col("answer"), ["search", "lookup"]).alias("a"))
+    return asked.groupBy("a.kind", "a.tool").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def json_spans(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("note "), F.col("o_orderpriority"), F.lit(' {"k": "a}\\"b", "n": ['), F.col("o_orderkey").cast("string"), F.lit("]} end }"))
+    return t.orders.select("o_orderkey", V.balanced(text).alias("span"))
+
+
+@query
+def one_or_list(t: Tables) -> DataFrame:
+    return V.one_or_list(t.lineitem, ["l_orderkey"], "l_returnflag", "l_linenumber")
+
+
+@query
+def start_dates(t: Tables) -> DataFrame:
+    """The day of each customer's first order."""
+    days = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return V.with_start(t.customer.select("c_custkey", "c_mktsegment"), days, "c_custkey", "day")
+
+
+@query
+def missing_order(t: Tables) -> DataFrame:
+    rows = t.part.select("p_name", F.when(F.col("p_size") > 30, F.col("p_type")).alias("some"), F.when(F.col("p_size") > 10, F.lit(" ")).alias("blank"))
+    return V.missing_rates(rows, rows.columns)
+
+
+@query
+def record_blobs(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", V.search_blob(F.col("p_name"), F.when(F.col("p_size") > 30, F.col("p_type")), V.criteria_text(F.col("p_brand"), F.col("p_name"), 12)).alias("blob"))
+
+
+@query
+def record_snippets(t: Tables) -> DataFrame:
+    """Customers with an endpoint, with criteria, or with a title alone."""
+    kind, none = F.col("c_custkey") % 3, F.lit("")
+    end = F.struct(none.alias("primary_endpoint"), F.col("c_name").alias("primary_endpoint_domain"), none.alias("primary_endpoint_subdomain"))
+    out = F.array(F.struct(none.alias("outcome_type"), none.alias("why_terminated"), none.alias("overall_status")))
+    chosen = V.pick_snippet(F.filter(F.array(end), lambda _: kind == 0), F.when(kind == 1, F.col("c_mktsegment")), none, none, F.lit("title"), out, none)
+    return t.customer.select("c_custkey", chosen.alias("snippet"))
+
+
+@query
+def nested_defaults(t: Tables) -> DataFrame:
+    study = F.struct(F.when(F.col("p_size") > 30, F.col("p_name")).alias("title"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("phase"))
+    rows = t.part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, study).alias("study"), F.when(F.col("p_size") > 20, F.array("p_brand")).alias("arms"))
+    full = V.with_defaults(rows, {"study.title": "", "study.phase": 0, "arms": []})
+    return full.select("p_partkey", "study.title", F.col("study.phase").cast("long").alias("phase"), F.size("arms").cast("long").alias("n_arms"))
+
+
 # Without an exact counterpart in SQL
 
 

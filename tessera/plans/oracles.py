@@ -86,6 +86,12 @@ b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN n ELSE -n END) >= 0
 g AS (SELECT doc_id, CAST(sum(CASE WHEN one THEN (CAST(1 AS HUGEINT) << CAST(i AS INT)) ELSE 0 END) AS UBIGINT) AS sig FROM b GROUP BY doc_id)
 """.replace("\\\\", "\\")
 
+#: Signatures that share a band with a queried one, nearest first.
+NEAREST = """
+m AS (SELECT q.doc_id AS query, d.doc_id AS id, CAST(bit_count(xor(q.sig, d.sig)) AS BIGINT) AS distance FROM g q JOIN g d ON q.doc_id % 50 = 0 AND q.doc_id <> d.doc_id
+      AND (q.sig >> 48 = d.sig >> 48 OR (q.sig >> 32) & 65535 = (d.sig >> 32) & 65535 OR (q.sig >> 16) & 65535 = (d.sig >> 16) & 65535 OR q.sig & 65535 = d.sig & 65535)),
+f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM m)
+"""
 SQL: dict[str, str] = {
     "lexical_topk": lexical("WHERE item_id = 0", 10) + rf"""SELECT doc_id, rank, overlap, round(score, 6) AS score,
   CASE WHEN length({SQUEEZED}) <= 120 THEN {SQUEEZED} ELSE rtrim(substr({SQUEEZED}, 1, 117)) || '...' END AS snippet FROM r JOIN documents USING (doc_id)""",
@@ -285,4 +291,25 @@ SELECT lang, count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n),
     "nested_study_records": """
 WITH o AS (SELECT o_custkey, least(20, count(DISTINCT o_orderstatus || o_orderpriority)) AS n FROM orders GROUP BY 1)
 SELECT CAST(c_custkey AS VARCHAR) AS trial_id, c_mktsegment AS phase, coalesce(n, 0) AS n_outcomes, n_name AS condition FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""",
+    "simhash_nearest": f"WITH {HASHES}, {NEAREST} SELECT query, id, distance, 1 / (1 + distance) AS score, rank FROM f WHERE rank <= 5",
+    "simhash_search": f"""
+WITH {HASHES}, {NEAREST}, w AS (SELECT doc_id, {tokens('text')} AS t FROM documents),
+s AS (SELECT f.query, f.id, len(list_intersect(a.t, b.t)) AS o, round(o / (len(a.t) + len(b.t) - o), 6) AS score FROM f JOIN w a ON a.doc_id = f.query JOIN w b ON b.doc_id = f.id WHERE f.rank <= 40)
+SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""",
+    "response_errors": "SELECT o_orderpriority, count(*) AS n_rows, count(*) FILTER (o_orderkey % 7 = 2) AS n_errors FROM orders GROUP BY 1",
+    "answer_actions": """
+SELECT ['invalid', 'final', 'final', 'tool', 'tool', 'final', 'invalid'][o_orderkey % 7 + 1] AS kind, ['', '', '', 'x', 'lookup', '', ''][o_orderkey % 7 + 1] AS tool, count(*) AS n FROM orders GROUP BY ALL""",
+    "json_spans": r"""SELECT o_orderkey, '{"k": "a}\"b", "n": [' || o_orderkey || ']}' AS span FROM orders""",
+    "one_or_list": """
+SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) = 1 THEN min(l_returnflag) ELSE '["' || string_agg(l_returnflag, '","' ORDER BY l_linenumber, l_returnflag) || '"]' END AS l_returnflag
+FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1""",
+    "start_dates": "SELECT c_custkey, c_mktsegment, strftime(min(o_orderdate), '%Y-%m-%d') AS day FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
+    "missing_order": """
+WITH r AS (SELECT 'p_name' AS "column", round(avg(CAST(trim(coalesce(p_name, '')) = '' AS INT)), 6) AS rate FROM part UNION ALL SELECT 'some', round(avg(CAST(coalesce(p_size > 30 AND trim(p_type) <> '', false) AS INT) * -1 + 1), 6) FROM part UNION ALL SELECT 'blank', 1.0)
+SELECT "column", rate, row_number() OVER (ORDER BY rate DESC, "column") AS rank FROM r""",
+    "record_blobs": "SELECT p_partkey, lower(coalesce(p_name, '') || chr(10) || CASE WHEN p_size > 30 THEN p_type ELSE '' END || chr(10) || substr(p_brand || chr(10) || p_name, 1, 12)) AS blob FROM part",
+    "record_snippets": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE 'title' END AS snippet FROM customer",
+    "nested_defaults": """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size > 30 THEN p_name ELSE '' END AS title, CAST(CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN p_size ELSE 0 END AS BIGINT) AS phase,
+  CAST(CASE WHEN p_size > 20 THEN 1 ELSE 0 END AS BIGINT) AS n_arms FROM part""",
 }
