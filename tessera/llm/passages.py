@@ -41,6 +41,8 @@ WINDOW, GRAM = 35, 8
 SHARD_PHRASES = 24_000
 CHUNK_WORDS = 4_000_000  # words of documents that a task holds as numbers
 GROUP = 64  # batches a folder
+TABLE = 1 << 22  # powers that a worker keeps, two numbers each
+PIECE = 8_000  # phrases that are turned into letters at a time
 BUFFER = 1_000_000  # windows that a task holds before it gives their distinct hashes
 A, B = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
 
@@ -91,9 +93,13 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 LETTERS = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@functools.lru_cache(1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2^64, and their inverses."""
+    """The first n powers of an odd number modulo 2^64, and their inverses: the start of one table, but for very long slices."""
+    return tuple(x[:n] for x in (power_table(TABLE) if n <= TABLE else power_table.__wrapped__(n)))
+
+
+@functools.lru_cache(1)
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, A, np.uint64)
     down = np.full(n, np.uint64(pow(int(A), -1, 2**64)), np.uint64)
     up[0] = down[0] = 1
@@ -111,7 +117,7 @@ class Slice:
         blank = BLANK[x]
         change = np.flatnonzero(np.diff(blank, prepend=True))  # the last byte is blank
         self.first, self.last = change[0::2], change[1::2]
-        up, down = powers(1 << (len(x) - 1).bit_length())
+        up, down = powers(len(x))
         upto = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(LETTERS[x] * up[: len(x)], out=upto[1:])
         self.h = mixed((upto[self.last] - upto[self.first]) * down[self.first])
@@ -292,7 +298,8 @@ def shards_of(found: list[bytes], window: int, shard: int) -> Iterator[tuple[obj
 
     for j in range(0, len(found), shard):
         part = found[j : j + shard]
-        letters = Slice([p.decode("utf-8", "surrogatepass") for p in part], window).letters()
+        pieces = (part[k : k + PIECE] for k in range(0, len(part), PIECE))
+        letters = "".join(Slice([p.decode("utf-8", "surrogatepass") for p in piece], window).letters() for piece in pieces)
         automaton, texts, at = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], {}
         for i, p in enumerate(part):
             key = letters[2 * window * i : 2 * window * (i + 1)]
