@@ -1,7 +1,8 @@
 """Substring dedup: recurring passages are confirmed, compiled into sharded automata, and located in every document.
 
 A window is `window` consecutive words. Words are hashed to 64 bits, all of a slice of documents at once over its bytes, windows to 96.
-1 The text is written once in batches (an input split each, named by a number), so later passes read the same batches.
+1 The text is written once in batches (runs of rows of an input split, of about BATCH_BYTES of text, named by a number), so later passes
+  read the same batches, and what a batch is compared with does not grow with the split.
 2 Each window has a seed, the least hash of its runs of GRAM words: windows that are equal have equal seeds. A batch gives each of its
   distinct seeds once, and whether it stands in two places there. Seeds with two rows or that mark are recurring.
 3 Of windows with a recurring seed, a batch gives each distinct hash once, with the same mark. Hashes with two rows or the mark are
@@ -12,7 +13,7 @@ A window is `window` consecutive words. Words are hashed to 64 bits, all of a sl
   stream through all of these. A word is written there as two of 64 letters, by 12 bits of its hash, so that a node has few children, among
   which the library looks one by one; a match counts if its text is that of a phrase. These matches alone say which words go.
 What a batch gives to a shuffle holds a hash once, so a passage that a third of all rows have gives at most a row a batch, and no step
-gathers a group. Recurring seeds, confirmed hashes and phrases go back to their batches in files by group of batches, sorted by batch, of which
+gathers a group of texts. Recurring seeds, confirmed hashes and phrases go back to their batches in files by group of batches, sorted by batch, of which
 a task reads its own batch's.
 
 Defined cases: a null text has no words; a text of fewer words than a window keeps all; windows overlap and may recur in one document;
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.neardup import mixed
@@ -40,6 +41,7 @@ from tessera.llm.tokens import target
 WINDOW, GRAM = 35, 8
 SHARD_PHRASES = 24_000
 CHUNK_WORDS = 4_000_000  # words of documents that a task holds as numbers
+BATCH_BYTES = 16 << 20  # text of a batch
 GROUP = 64  # batches a folder
 TABLE = 1 << 22  # powers that a worker keeps, two numbers each
 PIECE = 8_000  # phrases that are turned into letters at a time
@@ -88,10 +90,6 @@ def window_hashes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.n
     return rolling(h, window, A), rolling(h, window, B) >> np.uint64(33)
 
 
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-LETTERS = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2^64, and their inverses: the start of one table, but for very long slices."""
@@ -114,21 +112,50 @@ class Slice:
         parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         self.raw = b"\n".join([*parts, b""]) or b"\n"
         x = np.frombuffer(self.raw, np.uint8)
-        blank = BLANK[x]
-        change = np.flatnonzero(np.diff(blank, prepend=True))  # the last byte is blank
+        self.blank = (x == 32) | (x - np.uint8(9) <= 4)
+        change = np.flatnonzero(self.blank[1:] != self.blank[:-1]) + 1  # the last byte is blank
+        change = change if self.blank[0] else np.concatenate([[0], change])
         self.first, self.last = change[0::2], change[1::2]
         up, down = powers(len(x))
         upto = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(LETTERS[x] * up[: len(x)], out=upto[1:])
+        y = upto[1:]
+        y[:] = x
+        y += np.uint64(1)  # so that no byte is 0
+        y *= up
+        np.cumsum(y, out=y)
         self.h = mixed((upto[self.last] - upto[self.first]) * down[self.first])
         ends = np.searchsorted(self.first, np.cumsum([len(p) + 1 for p in parts]))
         self.sizes = np.diff(ends, prepend=0)
         stop = np.repeat(ends, self.sizes)
         self.whole = (np.arange(len(self.h)) + window <= stop)[: max(0, len(self.h) - window + 1)]
 
-    def text(self, start: int, window: int) -> bytes:
-        """The words of a window, joined by a space."""
-        return b" ".join(self.raw[self.first[start] : self.last[start + window - 1]].split())
+    def texts(self, starts: np.ndarray, window: int) -> list[bytes]:
+        """The words of each window, joined by a space: as they stand where single spaces part them."""
+        x = np.frombuffer(self.raw, np.uint8)
+        odd = np.concatenate([[0], np.cumsum((self.first[1:] - self.last[:-1] != 1) | (x[self.last[:-1]] != 32))])
+        ends = starts + window - 1
+        spans = zip(self.first[starts].tolist(), self.last[ends].tolist(), (odd[ends] > odd[starts]).tolist(), strict=True)
+        return [b" ".join(self.raw[a:b].split()) if mend else self.raw[a:b] for a, b, mend in spans]
+
+    def left(self, gone: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Of each document the words that are not gone, joined by a space, and how many words are gone."""
+        x = np.frombuffer(self.raw, np.uint8).copy()
+        x[self.last] = 32
+        keep = ~self.blank
+        keep[self.last] = True
+        lost = np.flatnonzero(gone)
+        if len(lost):
+            # A word goes with the blank after it.
+            edge = np.zeros(len(x) + 1, np.int8)
+            edge[self.first[lost]] += 1
+            edge[self.last[lost] + 1] -= 1
+            keep &= np.cumsum(edge[:-1], dtype=np.int8) == 0
+        size = np.where(gone, 0, self.last - self.first + 1)
+        ends = np.cumsum(self.sizes)
+        at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])].tolist()
+        took = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.concatenate([[0], ends])]).tolist()
+        out = x[keep].tobytes()
+        return [out[i : max(i, j - 1)] for i, j in itertools.pairwise(at)], took
 
     def letters(self) -> str:
         """Two characters for each word, one of 64 each."""
@@ -189,13 +216,21 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def batches_of(docs: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """docs, written once, with the number of the batch that each row is in: as many rows of a split as have, on average, `most` bytes of text.
+    Numbers that meet, of a split with more than GROUP batches, make one batch with pieces in two places."""
+    rows = columns(docs, ["doc_id", "text"], ["long", "string"])
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    run = max(1, found.n * most // max(1, found.size or 0))
+    at = F.monotonically_increasing_id()
+    batch = F.shiftright(at, 33) * GROUP + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(run)) % GROUP
+    return materialize(rows.withColumn("batch", batch.cast("int")), "batches")
 
 
-def batches_of(docs: DataFrame) -> DataFrame:
-    """docs, written once, with the number of the split that each row was in."""
-    return materialize(columns(docs, ["doc_id", "text"], ["long", "string"]).withColumn("batch", F.spark_partition_id()), "batches")
+def recurring(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key has two rows or the mark `twice`, in one shuffle: a key has at most a row for each batch, or BUFFER hashes of it."""
+    w = Window.partitionBy(*key)
+    return rows.withColumns({"n": F.count(F.lit(1)).over(w), "two": F.max("twice").over(w)}).where("n > 1 or two")
 
 
 def recurring_seeds(batched: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -219,9 +254,7 @@ def recurring_seeds(batched: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield give()
 
-    rows = materialize(mapped(batched.select("text", "batch"), run, "h long, batch int, twice boolean"), "seeds")
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("h")
-    return rows.select("h", "batch").join(often, "h").select("batch", F.col("h").alias("v")).distinct()
+    return recurring(mapped(batched.select("text", "batch"), run, "h long, batch int, twice boolean"), ["h"]).select("batch", F.col("h").alias("v"))
 
 
 def confirmed_windows(batched: DataFrame, seed_path: str, window: int = WINDOW) -> DataFrame:
@@ -248,9 +281,8 @@ def confirmed_windows(batched: DataFrame, seed_path: str, window: int = WINDOW)
         if held:
             yield give()
 
-    rows = materialize(mapped(batched.select("text", "batch"), run, "h long, i int, batch int, twice boolean"), "windows")
-    often = rows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("h", "i")
-    return materialize(rows.select("h", "i", "batch").join(often, ["h", "i"]).select("batch", "h", "i").distinct(), "confirmed")
+    rows = recurring(mapped(batched.select("text", "batch"), run, "h long, i int, batch int, twice boolean"), ["h", "i"])
+    return materialize(rows.select("batch", "h", "i"), "confirmed")
 
 
 def phrases(batched: DataFrame, seed_path: str, window_path: str, window: int = WINDOW) -> DataFrame:
@@ -274,8 +306,8 @@ def phrases(batched: DataFrame, seed_path: str, window_path: str, window: int =
             seen |= {(int(h[s]), int(i[s])) for s in starts}
             if len(seen) > BUFFER // 4:
                 seen = set()
-            text = [x.text(j, window) for j in starts.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(i[starts].astype(np.int32)), pa.array(text, pa.binary())], ["h", "i", "phrase"])
+            text = pa.array(x.texts(starts, window), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(i[starts].astype(np.int32)), text], ["h", "i", "phrase"])
 
     found = mapped(batched.select("text", "batch"), run, "h long, i int, phrase binary")
     return found.groupBy("h", "i").agg(F.min("phrase").alias("phrase"))
@@ -312,19 +344,31 @@ def shards_of(found: list[bytes], window: int, shard: int) -> Iterator[tuple[obj
         yield automaton, texts
 
 
-def locate(found: list[bytes], slices: list[list[str | None]], window: int, shard: int = SHARD_PHRASES) -> list[np.ndarray]:
-    """Of each slice of documents: which of its words an occurrence of one of the phrases covers."""
+def locate(found: list[bytes], slices: list[list[str | None]], window: int, shard: int = SHARD_PHRASES) -> Iterator[tuple[Slice, np.ndarray]]:
+    """Each slice of documents, and which of its words an occurrence of one of the phrases covers."""
     covers: list[np.ndarray | None] = [None] * len(slices)
-    for automaton, phrases in shards_of(found, window, shard):
+    shards = -(-len(found) // shard)
+    for done, (automaton, phrases) in enumerate(shards_of(found, window, shard), 1):
         for k, texts in enumerate(slices):
             x = Slice(texts, window)
             if covers[k] is None:
                 covers[k] = np.zeros(len(x.h) + 1, np.int32)
-            hits = [(e - 2 * window + 1, v) for e, v in automaton.iter(x.letters())]
-            at = np.array([i // 2 for i, v in hits if x.whole[i // 2] and x.text(i // 2, window) in phrases[v]], np.int64)
-            np.add.at(covers[k], at, 1)
-            np.add.at(covers[k], at + window, -1)
-    return [np.zeros(0, bool) if m is None else np.cumsum(m[:-1]) > 0 for m in covers]
+            hits = list(automaton.iter(x.letters()))
+            if hits:
+                ends, v = np.array(hits, np.int64).T
+                at = (ends - 2 * window + 1) // 2
+                at, v = at[x.whole[at]], v[x.whole[at]]
+                same = [t in phrases[i] for t, i in zip(x.texts(at, window), v.tolist(), strict=True)]
+                at = at[np.array(same, bool)]
+                np.add.at(covers[k], at, 1)
+                np.add.at(covers[k], at + window, -1)
+            if done == shards:
+                yield x, np.cumsum(covers[k][:-1]) > 0
+                covers[k] = None
+    if not shards:
+        for texts in slices:
+            x = Slice(texts, window)
+            yield x, np.zeros(len(x.h), bool)
 
 
 def remove(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS, shard: int = SHARD_PHRASES, keep_text: bool = False) -> DataFrame:
@@ -341,17 +385,11 @@ def remove(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS
 
         def give() -> Iterator[pa.RecordBatch]:
             slices = [t.to_pylist() for _, t in held]
-            for (ids, _), texts, gone in zip(held, slices, locate(found, slices, window, shard), strict=True):
-                out, at = [], 0
-                for t in texts:
-                    ws = words_of(t)
-                    mask = gone[at : at + len(ws)]
-                    at += len(ws)
-                    left = list(itertools.compress(ws, (~mask).tolist())) if mask.any() else ws
-                    text = b" ".join(left)
-                    out.append((len(ws), len(ws) - len(left), hashlib.sha256(text).hexdigest(), text if keep_text else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                made = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            for (ids, _), (x, gone) in zip(held, locate(found, slices, window, shard), strict=True):
+                kept, took = x.left(gone)
+                sums = [hashlib.sha256(k).hexdigest() for k in kept]
+                texts = pa.array(kept, pa.binary()) if keep_text else pa.nulls(len(kept), pa.binary())
+                made = [pa.array(x.sizes, pa.int64()), pa.array(took, pa.int64()), pa.array(sums, pa.string()), texts]
                 yield pa.RecordBatch.from_arrays([ids, *made], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
         for n, own in by_batch(parts):

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import chat, decontaminate, htmltext, langid, mixing, multiset, neardup, passages, pii, registry, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, term string"
@@ -451,6 +452,16 @@ def test_passages(spark):
     assert passages.remove(texts(spark, [])).count() == 0
 
 
+def test_passage_batches_do_not_grow_with_a_split(spark, monkeypatch):
+    docs = [(i, " ".join(words(60, i % 30)) + ("\n" if i % 2 else " \t") + "é" * (i % 5)) for i in range(200)]
+    one = texts(spark, docs).coalesce(1)
+    sizes = [r.n for r in passages.batches_of(one, most=2_000).groupBy("batch").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < 4_000
+    make = passages.batches_of
+    monkeypatch.setattr(passages, "batches_of", lambda d: make(d, 100))  # more batches than there are numbers for
+    assert sorted(map(tuple, passages.remove(one).collect()), key=str) == brute_passages(docs, 35)
+
+
 def test_rolling_hashes_tell_windows_apart():
     h = np.array([passages.mixed(np.array([x], np.uint64))[0] for x in (1, 2, 3, 1, 2, 3, 2, 1, 3)], np.uint64)
     for k in range(1, 9):
